@@ -1,0 +1,37 @@
+"""Where intermediate tables go, and how they are written and read back."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """The shared folder named by ``spark.checkpoint.dir``.
+
+    On a cluster the setting must be there, because every executor has to see
+    the folder. A local session that lacks it (tests) gets a folder of its own.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="strataline-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+def new_path(spark: SparkSession, stem: str) -> str:
+    return f"{scratch_dir(spark)}/{stem}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, stem: str) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back.
+
+    This cuts the lineage: a lost executor costs a reread, not a recomputation.
+    """
+    path = new_path(df.sparkSession, stem)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
