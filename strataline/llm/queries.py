@@ -24,3 +24,17 @@ def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash_dedup import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
+@query
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import score
+
+    return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
