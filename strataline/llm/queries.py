@@ -38,3 +38,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import score
 
     return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import scan
+
+    return scan(table(spark, sf_dir, "documents"))
