@@ -45,3 +45,10 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import scan
 
     return scan(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import repeated_passages
+
+    return repeated_passages(table(spark, sf_dir, "documents"))
