@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,3 +37,18 @@ def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         raise RuntimeError("connected components did not settle")
     roots = work.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return work.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+
+
+def roots(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each row the least id that the edges reach."""
+    order = np.argsort(ids, kind="stable")
+    low = np.empty(len(ids), dtype=np.int64)
+    low[order] = np.arange(len(ids))
+    while True:
+        new = low.copy()
+        np.minimum.at(new, i, low[j])
+        np.minimum.at(new, j, low[i])
+        new = new[order[new]]
+        if (new == low).all():
+            return ids[order[low]]
+        low = new

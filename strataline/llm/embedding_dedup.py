@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._store import materialize
-from .components import connected_components
+from .components import connected_components, roots
 
 THRESHOLD = 0.93
 BLOCK = 1024
@@ -85,21 +85,6 @@ def linked_pairs(x: np.ndarray, y: np.ndarray, same: bool, threshold: float) ->
     return i[keep], j[keep]
 
 
-def roots(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """For each row the least id that the edges reach."""
-    order = np.argsort(ids, kind="stable")
-    low = np.empty(len(ids), dtype=np.int64)
-    low[order] = np.arange(len(ids))
-    while True:
-        new = low.copy()
-        np.minimum.at(new, i, low[j])
-        np.minimum.at(new, j, low[i])
-        new = new[order[new]]
-        if (new == low).all():
-            return ids[order[low]]
-        low = new
-
-
 def compare(threshold: float):
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         b1, b2 = int(pdf["b1"].iloc[0]), int(pdf["b2"].iloc[0])

@@ -6,10 +6,13 @@ longs, and the similarity of a candidate pair is estimated by counting equal b-b
 fields and correcting for chance agreement, (match/K - 2^-b) / (1 - 2^-b). Pairs whose
 estimate is near or above the threshold are confirmed on their full shingle sets.
 
-Equal sets are collapsed first, so a group of copies of any size is one node. Inside a
-bucket no all-pairs list is made: rows meet a few pivots of the bucket, components are
-formed from the confirmed links, and only rows of different components that share a
-bucket meet again, filtered by the estimate inside the join.
+Equal sets are collapsed first, so a group of copies of any size is one node. No list of
+all pairs of a bucket is made. Documents are first clustered by estimates against a few
+pivots of their buckets; the links inside a cluster are counted exactly on the full sets,
+in blocks of bounded size, and only least reachable ids come out of a block. Then only
+documents of different clusters that share a bucket meet, filtered by the estimate inside
+the join, and what passes is confirmed pair by pair. What is compared inside a cluster
+grows with the square of the cluster's size, at a thousandth of a pair list's cost.
 
 With r and the number of bands chosen for a miss rate below 1e-6 at the threshold, what
 is left to chance is that one pair in a million at the threshold shares no bucket, or
@@ -32,7 +35,7 @@ from pyspark.sql import functions as F
 
 from . import _hashing as H
 from ._store import materialize
-from .components import connected_components
+from .components import connected_components, roots
 
 K, BITS = 128, 4
 LONGS = K * BITS // 64
@@ -175,6 +178,73 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(check, "a bigint, b bigint")
 
 
+#: Documents, and shingles, in a block of a cluster.
+BLOCK, BLOCK_SHINGLES = 1024, 2_000_000
+
+
+def linked_roots(sets: list[np.ndarray], ids: np.ndarray, mine: np.ndarray, theirs: np.ndarray, percent: int) -> np.ndarray:
+    """For each set the least id reachable over links between rows of ``mine`` and rows of ``theirs``.
+
+    Intersections are counted exactly, as products of 0/1 columns of the shingles that
+    more than one set holds.
+    """
+    size = np.array([len(s) for s in sets], dtype=np.int64)
+    flat, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    order = np.argsort(flat, kind="stable")
+    flat, row = flat[order], row[order]
+    new = np.append(True, flat[1:] != flat[:-1])
+    column = np.cumsum(new) - 1
+    often = np.diff(np.append(np.flatnonzero(new), len(flat)))[column] > 1
+    row, column = row[often], column[often]
+    same = np.zeros((len(mine), len(theirs)), dtype=np.float32)
+    place = np.full((2, len(sets)), -1)
+    place[0, mine], place[1, theirs] = np.arange(len(mine)), np.arange(len(theirs))
+    at = 0
+    while at < len(column):  # about a thousand columns at a time
+        to = int(np.searchsorted(column, column[at] + 1024))
+        c, r = column[at:to] - column[at], row[at:to]
+        sides = []
+        for k, n in enumerate((len(mine), len(theirs))):
+            dense = np.zeros((n, int(c[-1]) + 1), dtype=np.float32)
+            here = place[k, r] >= 0
+            dense[place[k, r[here]], c[here]] = 1
+            sides.append(dense)
+        same += sides[0] @ sides[1].T
+        at = to
+    union = size[mine][:, None] + size[theirs][None, :] - same
+    i, j = np.nonzero(100 * same >= percent * union)
+    return roots(ids, mine[i], theirs[j])
+
+
+def _linked_in_clusters(rows: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(a, b) edges that connect what is linked inside the clusters of ``rows`` (rep, n, cluster), found on full sets."""
+    sizes = rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("total")).where("m > 1")
+    sizes = sizes.select("cluster", F.ceil(F.greatest(F.col("m") / BLOCK, F.col("total") / BLOCK_SHINGLES)).alias("blocks"))
+    dealt = materialize(rows.join(sizes, "cluster").select("rep", "cluster", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("block")), "minhash")
+    texts = _only(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), dealt.select(F.col("rep").alias("doc_id")))
+    dealt = dealt.join(texts.withColumnRenamed("doc_id", "rep"), "rep")
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    dealt = dealt.select("cluster", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "block", "rep", "text")
+
+    def link(group: pa.Table) -> pa.Table:
+        data, offsets = H.buffers(group.column("text"))
+        sets = [s for found in H.words(data, offsets) for s in H.shingle_sets(found, width)]
+        ids, block = group.column("rep").to_numpy(), group.column("block").to_numpy()
+        mine, theirs = np.flatnonzero(block == group.column("b1")[0].as_py()), np.flatnonzero(block == group.column("b2")[0].as_py())
+        root = linked_roots(sets, ids, mine, theirs, percent) if len(mine) and len(theirs) else ids
+        return pa.table({"a": ids[root != ids], "b": root[root != ids]})
+
+    return dealt.groupBy("cluster", "b1", "b2").applyInArrow(link, "a bigint, b bigint")
+
+
+def _nearest_pivots(rows: DataFrame, sigs: DataFrame, percent: int, low: float) -> DataFrame:
+    """Of (a, b) rows, one for each shared band, the two partners of each a that share most bands, if their estimates reach ``low``."""
+    shared = rows.where("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
+    first = shared.groupBy("a").agg(F.max_by("b", F.struct("c", "b")).alias("x"), F.max_by("b", F.struct("c", F.negative("b"))).alias("y"))
+    pairs = first.select("a", F.explode(F.array_distinct(F.array("x", "y"))).alias("b"))
+    return materialize(_scored(pairs, sigs, percent).where(F.col("e") >= low).select("a", "b"), "minhash")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     threshold = percent / 100
@@ -186,59 +256,44 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         sign.where("n_shingles > 0").select("d1", "d2", F.col("n_shingles").alias("n"), F.col("doc_id").alias("rep"), "sig", "bands"), ["d1", "d2", "n", "rep"]).dropDuplicates(["d1", "d2", "rep"])
     reps = materialize(reps.select("rep", "n", "sig", "bands"), "minhash")
     sigs = reps.select("rep", "n", "sig")
-    # two classes under one doc_id are one node; its links are those of either
     own = reps.select("rep", F.explode("bands").alias("key"))
-    shared = own.groupBy("key").agg(F.min("rep").alias("p0"), F.max("rep").alias("p1"), F.min_by("rep", F.xxhash64("rep")).alias("p2")).where("p0 <> p1")
-    buckets = materialize(own.join(shared, "key"), "minhash")
-
-    links = None
-    where = sigs.select("rep").withColumn("component", F.col("rep"))
-    for step in range(2):
-        rows = buckets
-        if step:
-            rows = _with_component(buckets.drop("component"), where)
-            open_ = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
-                                            F.min_by("rep", F.xxhash64("rep", F.lit(5))).alias("q0"), F.max_by("rep", F.xxhash64("rep", F.lit(5))).alias("q1")).where("lo <> hi").select("key", "q0", "q1")
-            rows = rows.join(open_, "key").select("rep", "component", F.explode(F.array("q0", "q1")).alias("pivot"))
-            rows = _with_component(rows.select(F.col("pivot").alias("rep"), F.col("rep").alias("a"), F.col("component").alias("ca")), where)
-            rows = rows.where("component <> ca").select("a", F.col("rep").alias("b"))
-        else:
-            rows = rows.select(F.col("rep").alias("a"), F.explode(F.array_distinct(F.array("p0", "p1", "p2"))).alias("b"))
-        pairs = rows.where("a <> b").distinct()
-        scored = _scored(pairs, sigs, percent).where(F.col("e") >= low)
-        best = scored.groupBy("a").agg(F.max_by("b", F.struct("e", F.negative("b"))).alias("b"))
-        best = materialize(best, "minhash")
-        now = materialize(confirmed(best, docs, width, percent), "minhash")
-        links = now if links is None else links.unionByName(now)
-        where = materialize(connected_components(links), "minhash").select(F.col("node").alias("rep"), "component")
-
-    # rows of different components that share a bucket: whoever is not in the bucket's
-    # largest component meets all of it, and the estimate is a condition of the join
-    rows = _with_component(buckets.select("key", "rep"), where)
-    open_ = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    rows = rows.join(open_.select("key"), "key", "left_semi")
-    main = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("main"))
-    rows = materialize(rows.join(main, "key").join(sigs, "rep"), "minhash")
+    shared = own.groupBy("key").agg(F.min("rep").alias("p0"), F.max("rep").alias("last"), F.min_by("rep", F.xxhash64("rep")).alias("p1")).where("p0 <> last")
+    buckets = materialize(own.join(shared, "key").select("key", "rep", "p0", "p1"), "minhash")
+
+    # clusters: whatever estimates connect to pivots of shared buckets, in two rounds
+    near = _nearest_pivots(buckets.select(F.col("rep").alias("a"), F.explode(F.array_distinct(F.array("p0", "p1"))).alias("b")), sigs, percent, low)
+    cluster = _clusters(near)
+    rows = _with_cluster(buckets.select("key", "rep"), cluster)
+    spread = F.xxhash64("rep", F.lit(5))
+    pivots = rows.groupBy("key").agg(F.min("cluster").alias("lo"), F.max("cluster").alias("hi"), F.min_by(F.struct("rep", "cluster"), spread).alias("p"), F.max_by(F.struct("rep", "cluster"), spread).alias("q")).where("lo <> hi")
+    again = rows.join(pivots, "key").select("rep", "cluster", F.explode(F.array("p", "q")).alias("b")).where("b.cluster <> cluster")
+    near = near.unionByName(_nearest_pivots(again.select(F.col("rep").alias("a"), F.col("b.rep").alias("b")), sigs, percent, low))
+    cluster = _clusters(near)
+    links = materialize(_linked_in_clusters(_with_cluster(sigs.select("rep", "n"), cluster), docs, width, percent), "minhash")
+
+    # pairs that share a bucket but no cluster: whoever is not in the bucket's largest
+    # cluster meets the rest of it, and the estimate is a condition of the join
+    rows = _with_cluster(buckets.select("key", "rep"), cluster)
+    parts = rows.groupBy("key", "cluster").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.max_by("cluster", F.struct("c", "cluster")).alias("main")).where("k > 1")
+    rows = materialize(rows.join(parts.select("key", "main"), "key").join(sigs, "rep"), "minhash")
     a, b = rows.alias("a"), rows.alias("b")
-    rest = a.where("component <> main").join(
-        b, (F.col("a.key") == F.col("b.key")) & (F.col("a.component") != F.col("b.component")) & (100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n")) & (estimate("a.sig", "b.sig") >= F.lit(low)))
-    rest = rest.select(F.least("a.rep", "b.rep").alias("a"), F.greatest("a.rep", "b.rep").alias("b")).distinct()
-    if best is not None:
-        tried = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        rest = rest.join(tried, ["a", "b"], "left_anti")
-    rest = materialize(rest, "minhash")
-    more = materialize(confirmed(rest, docs, width, percent), "minhash")
-    if not more.isEmpty():
-        where = materialize(connected_components(links.unionByName(more)), "minhash").select(F.col("node").alias("rep"), "component")
+    rest = a.where("cluster <> main").join(
+        b, (F.col("a.key") == F.col("b.key")) & (F.col("a.cluster") != F.col("b.cluster")) & (100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n")) & (estimate("a.sig", "b.sig") >= F.lit(low)))
+    rest = materialize(rest.select(F.least("a.rep", "b.rep").alias("a"), F.greatest("a.rep", "b.rep").alias("b")).distinct(), "minhash")
+    links = links.unionByName(materialize(confirmed(rest, docs, width, percent), "minhash"))
+    where = materialize(connected_components(links), "minhash").select(F.col("node").alias("rep"), "component")
     named = classes.join(where, "rep", "left").select("d1", "d2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     out = sign.select("doc_id", "n_shingles", "d1", "d2").join(named, ["d1", "d2", "n_shingles"], "left")
-    # an id that repeats with different texts: all its rows take the least component
     out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
-def _with_component(rows: DataFrame, where: DataFrame) -> DataFrame:
-    return rows.join(where, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+def _clusters(near: DataFrame) -> DataFrame:
+    return materialize(connected_components(near), "minhash").select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
+
+
+def _with_cluster(rows: DataFrame, cluster: DataFrame) -> DataFrame:
+    return rows.join(cluster, "rep", "left").withColumn("cluster", F.coalesce("cluster", "rep"))
 
 
 def _scored(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
