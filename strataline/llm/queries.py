@@ -73,3 +73,21 @@ def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html_extract import extract
 
     return extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import archive_and_read
+
+    return archive_and_read(spark, table(spark, sf_dir, "pages"))
+
+
+ORACLE_SQL["op3_warc"] = """
+with p as (
+    select page_id, strlen(coalesce(html, '')) as payload_bytes, sha1(coalesce(html, '')) as payload_digest from pages),
+g as (select *, max(page_id) over (partition by payload_digest) as latest, count(*) over (partition by payload_digest) as n from p)
+select page_id, payload_bytes, payload_digest,
+    case when payload_bytes >= 1000 and n > 1 and page_id is distinct from latest and latest is not null then 'revisit' else 'response' end as record_type,
+    case when payload_bytes >= 1000 and n > 1 and page_id is distinct from latest then latest end as refers_to
+from g
+"""
