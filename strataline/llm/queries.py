@@ -91,3 +91,10 @@ select page_id, payload_bytes, payload_digest,
     case when payload_bytes >= 1000 and n > 1 and page_id is distinct from latest then latest end as refers_to
 from g
 """
+
+
+@query
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pieces import digests
+
+    return digests(table(spark, sf_dir, "documents"))
