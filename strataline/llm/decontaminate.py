@@ -217,14 +217,38 @@ def _candidates(docs: DataFrame, items: DataFrame) -> DataFrame:
     return pairs.join(docs.select("doc_id", "text"), "doc_id").join(items.select("item_id", F.col("text").alias("item")), "item_id")
 
 
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").where("item_id is not null and text is not null").distinct()
+
+
+def _small(items: DataFrame, max_broadcast: int) -> Benchmark | None:
+    """The whole benchmark, if its texts are few enough bytes."""
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+    if size > 2 * max_broadcast:  # a window has a word of its own, so two bytes at least
+        return None
+    rows = items.orderBy("item_id", "text").collect()
+    return Benchmark([r.item_id for r in rows], [r.text for r in rows])
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+    """The rows of ``docs``, all columns, that hold no item of the benchmark. Rows with a null doc_id are judged alike where the benchmark is sent to every task, and stay otherwise."""
+    if (bench := _small(_items(benchmark), max_broadcast)) is None:
+        return docs.join(contaminated(docs, benchmark, least, max_broadcast).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            numbered = pa.RecordBatch.from_arrays([pa.array(range(batch.num_rows), pa.int64()), batch.column("text")], names=["doc_id", "text"])
+            held = {i for found in _matcher(bench, least)(iter([numbered])) for i in found.column("doc_id").to_pylist()}
+            yield batch.filter(pa.array([i not in held for i in range(batch.num_rows)], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """The documents that hold items of the benchmark, one row per document and item."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("text is not null")
-    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").where("item_id is not null and text is not null").distinct()
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
-    if size <= 2 * max_broadcast:  # a window has a word of its own, so two bytes at least
-        rows = items.orderBy("item_id", "text").collect()
-        bench = Benchmark([r.item_id for r in rows], [r.text for r in rows])
+    items = _items(benchmark)
+    if (bench := _small(items, max_broadcast)) is not None:
         return docs.mapInArrow(_matcher(bench, least), f"doc_id bigint, {RESULT}").distinct()
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

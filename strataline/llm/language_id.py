@@ -157,3 +157,15 @@ def identify(docs: DataFrame, top: int = TOP) -> DataFrame:
     rows = docs.select("doc_id", held_out().alias("held_out"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(predict, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+
+
+def accepted(docs: DataFrame, top: int = TOP) -> DataFrame:
+    """The rows of ``docs``, all columns, whose language could be told; what is ``und`` goes."""
+    langs, known, ranks = collected(profiles(docs.where(~held_out()), top), top)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            told = [nearest(t.as_py(), langs, known, ranks, top)[0] != "und" for t in batch.column("text")]
+            yield batch.filter(pa.array(told, pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)

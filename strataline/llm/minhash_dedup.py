@@ -288,6 +288,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
+def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, all columns, one of each group of near duplicates: that of the least doc_id.
+
+    Rows that repeat a doc_id become one. Rows with a null doc_id stay.
+    """
+    gone = near_duplicates(docs, width, percent).where("not kept and doc_id is not null").select("doc_id").distinct()
+    named = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    return named.select(docs.columns).unionByName(docs.where("doc_id is null"))
+
+
 def _clusters(near: DataFrame) -> DataFrame:
     return materialize(connected_components(near), "minhash").select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
 

@@ -295,7 +295,7 @@ def row_keys(column: pa.Array, seed: int) -> np.ndarray:
 
 
 def tokenize(docs: DataFrame, model: str = DEFAULT_MODEL, theta: float = THETA, seed: int = 0) -> DataFrame:
-    """doc_id and its sampled tokens (array<int>)."""
+    """doc_id, its sampled tokens (array<int>), and whether decoding them gives the very text back."""
     shared = docs.sparkSession.sparkContext.broadcast(load(model, theta))  # one vocabulary
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,10 +304,11 @@ def tokenize(docs: DataFrame, model: str = DEFAULT_MODEL, theta: float = THETA,
             null = batch.column("text").is_null().to_numpy(zero_copy_only=False)
             for first, last, tokens, at in encode(shared.value, data, offsets, row_keys(batch.column("doc_id"), seed)):
                 lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32), mask=np.append(null[first:last], False)), pa.array(tokens, pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, last - first), lists], names=["doc_id", "tokens"])
+                same = [None if null[k] else decode(shared.value, tokens[at[k - first] : at[k - first + 1]]) == data[offsets[k] : offsets[k + 1]].tobytes() for k in range(first, last)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, last - first), lists, pa.array(same, pa.bool_())], names=["doc_id", "tokens", "lossless"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(cut, f"doc_id {kind}, tokens array<int>")
+    return docs.select("doc_id", "text").mapInArrow(cut, f"doc_id {kind}, tokens array<int>, lossless boolean")
 
 
 def detokenize(tokens: DataFrame, model: str = DEFAULT_MODEL) -> DataFrame:
