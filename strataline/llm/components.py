@@ -1,42 +1,12 @@
-"""Connected components over an edge table of any size."""
+"""Components inside one block, beside those of whole edge tables."""
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from ._store import materialize
+from ..operators.components import connected_components
 
-
-def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """``edges`` (a, b) of longs -> (node, component), component the least reachable node.
-
-    Large-star and small-star rounds: every step is an aggregation to the least
-    neighbour and a join on the node, so a hub of any degree is pre-aggregated before
-    the shuffle and its join can be split. Each round is written to the shared folder.
-    Self-loops, repeated edges and nulls are dropped; an empty table gives an empty table.
-    """
-    work = materialize(
-        edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        .where("a is not null and b is not null and a <> b").distinct(), "cc")
-    before = None
-    for _ in range(rounds):
-        both = work.unionByName(work.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
-        work = materialize(small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct(), "cc")
-        state = work.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        if state == before:
-            break
-        before = state
-    else:
-        raise RuntimeError("connected components did not settle")
-    roots = work.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return work.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+__all__ = ["connected_components", "roots"]
 
 
 def roots(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:

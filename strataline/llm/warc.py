@@ -31,7 +31,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._store import materialize, new_path
+from ..store import materialize, new_path
 
 LEAST = 1000
 GAP, SPAN = 64 << 10, 8 << 20
