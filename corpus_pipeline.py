@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from strataline.llm import decontaminate, language_id, minhash_dedup, pieces, secrets
-from strataline.llm._store import materialize
+from strataline.store import materialize
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
