@@ -191,7 +191,7 @@ def usage_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- evidence ---------------------------------------------------------------------------------
 
-WEIGHT = F.expr("case event_type when 'error' then -0.3D when 'purchase' then 0.6D when 'signup' then 0.2D else 0.05D end")
+WEIGHT = "case event_type when 'error' then -0.3D when 'purchase' then 0.6D when 'signup' then 0.2D else 0.05D end"
 
 
 @register("confidence_fold", """
@@ -199,7 +199,7 @@ with w as (select user_id, list(case event_type when 'error' then -0.3 when 'pur
 c as (select user_id, list_reduce(ws, lambda a, w: least(1.0, greatest(0.0, a + w)), 0.0::double) as confidence from w)
 select user_id, round(confidence, 6)::double as confidence from c where confidence > 0""")
 def confidence_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = B.table(spark, sf_dir, "events").select("user_id", "ts", "event_id", WEIGHT.alias("w"))
+    events = B.table(spark, sf_dir, "events").select("user_id", "ts", "event_id", F.expr(WEIGHT).alias("w"))
     return rounded(evidence.confidence(events, "user_id", ["ts", "event_id"], "w"), "confidence")
 
 
@@ -340,3 +340,104 @@ def stats_library(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = orders.groupBy("grp").agg(mean.alias("mean"), median.alias("median"), pop.alias("sd_pop"), samp.alias("sd_samp"))
     rows = groups.join(rows, "grp", "left").select("grp", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("mean", "median", "sd_pop", "sd_samp")))
     return rows.select("grp", F.round("mean", 6).alias("mean"), F.round("median", 6).alias("median"), F.round("sd_pop", 4).alias("sd_pop"), F.round("sd_samp", 4).alias("sd_samp"))
+
+
+# Formats as users write them, and what they mean.
+FORMATS = (("", "json"), ("  ", "json"), ("JSON", "json"), ("serif", "sarif"), ("Sarif", "sarif"), (" md ", "md"), ("csv", "csv"))
+
+
+@register("report_format", "select * from (values " + ", ".join(f"('{a}', '{b}')" for a, b in FORMATS) + ") v(input, format)")
+def report_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(a,) for a, _ in FORMATS], "input string").select("input", X.report_format(F.col("input")).alias("format"))
+
+
+# --- sources ------------------------------------------------------------------------------
+
+@register("config_flatten", """
+select event_id::varchar as file_path, 'k' as key_path, json_extract_string(props, '$.k') as value from events where json_extract_string(props, '$.k') is not null
+union all select * from (values ('x', 'A:B', '1'), ('x', 'A:C:0', 'True'), ('x', 'A:C:1', ''), ('x', 'D', 'e')) v(file_path, key_path, value)""")
+def config_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sources import settings
+
+    rows = B.table(spark, sf_dir, "events").select(F.concat("event_id", F.lit("/appsettings.json")).alias("path"), F.encode("props", "UTF-8").alias("content"))
+    more = spark.createDataFrame([("x/appsettings.json", '﻿{"A":{"B":1,"C":[true,null]},"D":"e"}'), ("y/appsettings.json", "{broken")], "path string, t string")
+    found = settings.json_entries(rows.unionByName(more.select("path", F.encode("t", "UTF-8").alias("content"))))
+    return found.select(F.substring_index("file_path", "/", 1).alias("file_path"), "key_path", "value")
+
+
+@register("env_parse", "select * from (values (1, 'A', '1'), (4, 'B', 'x=y'), (6, 'C', '')) v(line, key_path, value)")
+def env_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sources import settings
+
+    return settings.env_lines(spark.createDataFrame([("A=1\r\n# note\n\n B = x=y \n=none\nC=\nplain",)], "text string")).select("line", "key_path", "value")
+
+
+@register("package_scan", "select * from (values ('a/App.csproj', 'Npgsql', 3), ('a/App.csproj', 'Dapper', 4), ('Directory.Packages.props', 'MassTransit', 1)) v(file_path, name, line)")
+def package_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sources import settings
+
+    rows = [("a/App.csproj", '<Project>\n<ItemGroup>\n<PackageReference Include=" Npgsql " />\n<packagereference Update="Dapper"/>\n</ItemGroup></Project>'),
+            ("Directory.Packages.props", '<Project xmlns="urn:x"><PackageVersion Include="MassTransit"/></Project>'), ("b/Bad.csproj", "<Project><PackageReference"), ("c/readme.md", "<PackageReference Include='No'/>")]
+    return settings.packages(spark.createDataFrame(rows, "path string, t string").select("path", F.encode("t", "UTF-8").alias("content"))).select("file_path", "name", "line")
+
+
+# Snippets with their counts.
+SNIPPETS = (
+    ("conditions", "if (A && B || Cc) { }", 1, 4, 1, 0),
+    ("nested", "if (a) {\n while (b) {\n for (;;) {\n if (c) { }\n}\n}\n}", 4, 5, 4, 0),
+    ("else_if", "if (a) { } else if (b) { if (c) { } else { if (d) { } } } else { }", 1, 5, 3, 0),
+    ("called", 'Foo(); this.Bar(); Console.WriteLine("x"); "a".Ex().Ex(); new C();', 1, 1, 0, 5),
+    ("comments", "// nothing\n/* at\n all */\n#region x\n\n", 0, 1, 0, 0),
+    ("arms", "return x switch { 1 => 2, 2 => 3, _ => 4 };", 1, 4, 0, 0),
+    ("cases", "switch (x) {\n case 1: break;\n case 2: break;\n default: break;\n}", 4, 3, 1, 0),
+    ("loops", "do { x++; } while (x < 3);\nvar y = s ?? x > 0 ? 1 : 2;", 2, 4, 1, 0))
+
+
+@register("csharp_lexer_metrics", "select * from (values " + ", ".join(f"('{n}', {a}, {b}, {c}, {d})" for n, _, a, b, c, d in SNIPPETS) + ") v(snippet, sloc, cyclo, nbd, calls)")
+def csharp_lexer_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sources.csharp import count_snippets
+
+    return count_snippets(spark.createDataFrame([(n, t) for n, t, *_ in SNIPPETS], "snippet string, text string"))
+
+
+# --- integrations --------------------------------------------------------------------------
+
+# Signals of four small repositories (snapshot, phase, text, value), and what they make.
+SAMPLE_SIGNALS = (
+    ("http", "config", "HttpClients:Payments:BaseUrl", "https://payments.example"), ("http", "package", "Microsoft.Extensions.Http", None), ("http", "invocation", "X.AddHttpClient(string)", None), ("http", "type", "System.Net.Http.HttpClient", None),
+    ("ef", "config", "ConnectionStrings:MainDb", "Server=localhost;Database=d;Password=hidden"), ("ef", "package", "Microsoft.EntityFrameworkCore.SqlServer", None), ("ef", "invocation", "X.UseSqlServer(string)", None), ("ef", "type", "X.DbContext", None),
+    ("redis", "config", "Redis:Configuration", "localhost:6379"), ("redis", "package", "StackExchange.Redis", None), ("redis", "invocation", "X.AddStackExchangeRedisCache()", None), ("redis", "type", "StackExchange.Redis.ConnectionMultiplexer", None),
+    ("bus", "config", "ServiceBus:ConnectionString", "Endpoint=sb://x/;SharedAccessKey=hidden="), ("bus", "package", "Azure.Messaging.ServiceBus", None), ("bus", "type", "Azure.Messaging.ServiceBus.ServiceBusClient", None),
+    ("pg", "config", "ConnectionStrings:Pg", "Host=h;Port=5432"), ("pg", "package", "Npgsql", None))
+SAMPLE_CANDIDATES = (
+    ("http", "ext:httpapi:payments", "HttpClient", "Payments", "https://payments.example", 1.0), ("ef", "ext:database:maindb", "SqlServer", "MainDb", "Server=localhost;Database=d;Password=***", 1.0),
+    ("redis", "ext:cache:redis", "Redis", "redis", "localhost:6379", 1.0), ("bus", "ext:messagebus:servicebus", "AzureServiceBus", "servicebus", "Endpoint=sb://x/;SharedAccessKey=***", 1.0))
+
+
+def _signals(rows: DataFrame) -> DataFrame:
+    """Signals from (snapshot_id, phase, text, value, position)."""
+    none = F.lit(None)
+    return rows.select("snapshot_id", "phase", F.struct(F.lit("").alias("a"), F.lit("").alias("b"), F.col("position").cast("int").alias("c")).alias("position"),
+                       F.when(F.col("phase").isin("config", "package"), none).otherwise(F.concat(F.lit("n"), "position")).cast("string").alias("node_id"), "text", "value", none.cast("int").alias("argument_index"),
+                       none.cast("boolean").alias("is_resolved"), F.lit("f").alias("file_path"), none.cast("int").alias("line"))
+
+
+@register("integration_samples", "select snapshot_id, id, technology, logical_name, endpoint, confidence::double as confidence from (values " + ", ".join(str(c) for c in SAMPLE_CANDIDATES) + ") v(snapshot_id, id, technology, logical_name, endpoint, confidence)")
+def integration_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .operators import integrations
+
+    rows = spark.createDataFrame([(*s, k) for k, s in enumerate(SAMPLE_SIGNALS)], "snapshot_id string, phase string, text string, value string, position int")
+    found = integrations.in_profile(integrations.detect(_signals(rows)))
+    return found.select("snapshot_id", "id", "technology", "logical_name", "endpoint", F.round("confidence", 6).alias("confidence"))
+
+
+@register("integration_detection")
+def integration_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A snapshot a customer: its orders are calls and type usages, so that detection runs over many small repositories."""
+    from .operators import integrations
+
+    calls = {"1-URGENT": "X.UseSqlServer", "2-HIGH": "X.AddHttpClient", "3-MEDIUM": "X.CreateSender", "4-NOT SPECIFIED": "X.AddStackExchangeRedisCache", "5-LOW": "X.GetBlobContainerClient"}
+    text = F.try_element_at(F.create_map(*[F.lit(x) for kv in calls.items() for x in kv]), F.col("o_orderpriority"))
+    orders = B.table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("snapshot_id"), F.lit("invocation").alias("phase"), text.alias("text"), F.lit(None).cast("string").alias("value"), F.col("o_orderkey").cast("int").alias("position"))
+    found = integrations.in_profile(integrations.detect(_signals(orders)))
+    return found.select("snapshot_id", "id", "technology", F.round("confidence", 6).alias("confidence"), F.size("evidence").alias("n_evidence"), F.size("used_by").alias("n_nodes"))
