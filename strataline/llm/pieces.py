@@ -85,7 +85,7 @@ def load(path: str = DEFAULT_MODEL, theta: float = THETA) -> Vocabulary:
     crowded = np.bincount(top, minlength=1 << 20)[top] > 1
     single = np.zeros(256, dtype=bool)
     single[[pieces[i][0] for i in used if len(pieces[i]) == 1]] = True
-    return Vocabulary(pieces, hashed[order], ids[order], weight, byte_id, int(size[ids].max()), flat, at, size, slot, crowded, single)
+    return Vocabulary(pieces, hashed[order], ids[order].astype(np.int32), weight, byte_id, int(size[ids].max()), flat, at, size, slot, crowded, single)
 
 
 def find(v: Vocabulary, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -135,33 +135,36 @@ class Lattice(NamedTuple):
 def lattice(v: Vocabulary, data: np.ndarray, size: np.ndarray, bare: np.ndarray) -> Lattice:
     """Forward filtering over units that lie end to end in ``data``, the longest first."""
     n_units, to = len(size), np.cumsum(size)
-    unit = np.repeat(np.arange(n_units), size)
-    inside = np.arange(len(data)) - (to - size)[unit]
+    # positions and nodes are below 2**31, in half the memory of longs
+    unit = np.repeat(np.arange(n_units, dtype=np.int32), size)
+    inside = np.arange(len(data), dtype=np.int32) - (to - size).astype(np.int32)[unit]
     # units of at least k bytes are the first alive[k]
     alive = np.searchsorted(-size, -np.arange(int(size[0]) + 1), side="right")
-    level = np.append(0, np.cumsum(alive))
+    level = np.append(0, np.cumsum(alive)).astype(np.int32)
     prefix = H.Prefix(data, H.EXACT)
-    left = size[unit] - inside
+    left = size.astype(np.int32)[unit] - inside
     open_ = ~bare[unit]
     starts, lengths, ids = [], [], []
-    at = np.flatnonzero(open_)
+    at = np.flatnonzero(open_).astype(np.int32)
     for n in range(1, min(v.longest, int(size[0])) + 1):
         at = at[left[at] >= n]
         if not len(at):
             break
         hit, got = find(v, prefix.ranges(at, at + n))
         starts.append(at[hit])
-        lengths.append(np.full(len(hit), n))
+        lengths.append(np.full(len(hit), n, dtype=np.int32))
         ids.append(got)
-    forced = np.flatnonzero(~open_)
+    forced = np.flatnonzero(~open_).astype(np.int32)
     start = np.concatenate([*starts, forced])
-    length = np.concatenate([*lengths, np.ones(len(forced), np.int64)])
-    piece = np.concatenate([*ids, v.byte_id[data[forced]]])
+    length = np.concatenate([*lengths, np.ones(len(forced), np.int32)])
+    piece = np.concatenate([*ids, v.byte_id[data[forced]].astype(np.int32)])
+    del starts, lengths, ids, left, prefix
     owner, at = unit[start], inside[start]
     sink = level[at + length] + owner
-    order = np.argsort(sink * 64 + length)  # one order of a node's edges, whatever else is in the batch
+    order = np.argsort(sink.astype(np.int64) * 64 + length)  # one order of a node's edges, whatever else is in the batch
     sink, piece = sink[order], piece[order]
     source = (level[at] + owner)[order]
+    del owner, at, start, length, order
     weight = v.weight[piece]
     first = np.searchsorted(sink, np.arange(level[-1] + 1))
     alpha = np.full(level[-1], -np.inf)
@@ -189,7 +192,7 @@ def lattice(v: Vocabulary, data: np.ndarray, size: np.ndarray, bare: np.ndarray)
 def _draw(lat: Lattice, unit: np.ndarray, size: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Backward sampling of all units at once: their pieces in text order, and how many each has."""
     who, steps = [], []
-    active, node, n = np.arange(len(unit)), lat.level[size] + unit, np.zeros(len(unit), dtype=np.int64)
+    active, node, n = np.arange(len(unit), dtype=np.int32), lat.level[size] + unit.astype(np.int32), np.zeros(len(unit), dtype=np.int64)
     bottom = lat.level[1]  # nodes before the first byte
     step = 0
     while len(active):
@@ -220,8 +223,8 @@ def _draw(lat: Lattice, unit: np.ndarray, size: np.ndarray, seed: np.ndarray) ->
 
 def _cuts(data: np.ndarray, lo: int, hi: int) -> Iterator[tuple[int, int]]:
     """Pieces of a long row, cut before a space that follows something else."""
-    while hi - lo > 3 * H.PIECE:
-        cut, a = hi, lo + 2 * H.PIECE
+    while hi - lo > 2 * H.PIECE:
+        cut, a = hi, lo + H.PIECE
         while a < hi:
             b = min(hi, a + H.PIECE)
             here = np.flatnonzero((data[a:b] == 32) & (data[a - 1 : b - 1] != 32))
@@ -238,7 +241,7 @@ def _cuts(data: np.ndarray, lo: int, hi: int) -> Iterator[tuple[int, int]]:
 
 def encode(v: Vocabulary, data: np.ndarray, offsets: np.ndarray, keys: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row, tokens, offsets of each row's tokens) in groups of rows."""
-    for first, last in H.groups(offsets, 2 * H.PIECE):
+    for first, last in H.groups(offsets):
         parts: list[np.ndarray] = []
         counts = np.zeros(last - first, dtype=np.int64)
         done = 0  # units of a long row before the piece at hand
@@ -258,7 +261,7 @@ def encode(v: Vocabulary, data: np.ndarray, offsets: np.ndarray, keys: np.ndarra
             order = np.argsort(hashed)
             new = np.append(True, hashed[order[1:]] != hashed[order[:-1]])
             where = order[new]
-            inverse = np.empty(len(order), dtype=np.int64)
+            inverse = np.empty(len(order), dtype=np.int32)
             inverse[order] = np.cumsum(new) - 1
             # distinct units, the longest first
             long = np.argsort(start[where] - end[where], kind="stable")
