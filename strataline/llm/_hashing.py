@@ -81,8 +81,9 @@ def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
     return (np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)), offsets
 
 
-def groups(offsets: np.ndarray, limit: int = PIECE) -> Iterator[tuple[int, int]]:
-    """Runs of rows of about ``limit`` bytes; a longer row is a run of its own."""
+def groups(offsets: np.ndarray, limit: int | None = None) -> Iterator[tuple[int, int]]:
+    """Runs of rows of about ``limit`` bytes (PIECE if not given); a longer row is a run of its own."""
+    limit = limit or PIECE
     first, n = 0, len(offsets) - 1
     while first < n:
         last = int(np.searchsorted(offsets, offsets[first] + limit, side="right")) - 1

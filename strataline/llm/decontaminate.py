@@ -210,6 +210,7 @@ def _candidates(docs: DataFrame, items: DataFrame) -> DataFrame:
 
         return cut
 
+    docs = docs.where("doc_id is not null")
     widths = tuple(range(SHORTEST, WINDOW + 1))
     one = docs.select("doc_id", "text").mapInArrow(spread("doc_id", widths), "doc_id bigint, h bigint")
     two = items.select("item_id", "text").mapInArrow(spread("item_id", widths), "item_id bigint, h bigint")

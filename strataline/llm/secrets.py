@@ -163,17 +163,19 @@ def masked(text: str) -> str:
 
 
 def mask(docs: DataFrame) -> DataFrame:
-    """The same rows and columns, secrets in ``text`` masked and ``n_chars`` (if there) in keeping."""
+    """The same rows and columns, secrets in ``text`` masked and ``n_chars`` (if there) of masked texts in keeping."""
     names = docs.columns
 
     def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [None if t is None else masked(t) for t in batch.column("text").to_pylist()]
+            before = batch.column("text").to_pylist()
+            texts = [None if t is None else masked(t) for t in before]
             columns = dict(zip(names, batch.columns))
             columns["text"] = pa.array(texts, batch.schema.field("text").type)
             if "n_chars" in columns:
                 kind = batch.schema.field("n_chars").type
-                columns["n_chars"] = pa.array([None if t is None else len(t) for t in texts], kind)
+                held = columns["n_chars"].to_pylist()
+                columns["n_chars"] = pa.array([n if t == b else len(t) for n, t, b in zip(held, texts, before)], kind)
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=names)
 
     return docs.mapInArrow(replace, docs.schema)

@@ -14,8 +14,8 @@ Digests are aggregated (first and last document) before the shuffle; a digest th
 everywhere costs one row a task. The join back is on the digest and may be split.
 
 Result rows: doc_id, byte_start, byte_end (of the UTF-8 text), n_chunks, first_doc_id
-(the least document that holds the passage's first chunk) and duplicate (it is not this
-one, so this copy can go). Documents without a repeated passage have no row. Repeats
+(where most of the passage's chunks stand first; ties: the least) and duplicate (it is not
+this one, so this copy can go). Documents without a repeated passage have no row. Repeats
 inside one document do not count. Null and empty texts, rows with a null doc_id and
 empty tables give no rows; rows that repeat a doc_id count as one document.
 """
@@ -99,10 +99,12 @@ def repeated_passages(docs: DataFrame, average: int = AVERAGE, least: int = LEAS
     held = every.groupBy("digest").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last_doc_id"))
     held = held.where("first_doc_id <> last_doc_id").select("digest", "first_doc_id")
     hits = materialize(every.join(held, "digest").select("doc_id", "start", "size", "first_doc_id"), "chunks")
+    # rows that repeat a doc_id repeat its chunks: a run goes on while chunks begin no later than the last one ended
     order = Window.partitionBy("doc_id").orderBy("start", "size")
-    runs = hits.withColumn("begins", (F.col("start") != F.lag(F.col("start") + F.col("size"), 1, -1).over(order)).cast("long"))
-    runs = runs.withColumn("run", F.sum("begins").over(order))
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    runs = hits.withColumn("reached", F.max(F.col("start") + F.col("size")).over(before)).withColumn("new", (F.col("start") != F.lag("start", 1, -1).over(order)).cast("long"))
+    runs = runs.withColumn("run", F.sum((F.col("start") > F.coalesce("reached", F.lit(-1))).cast("long")).over(order))
     found = runs.groupBy("doc_id", "run").agg(
-        F.min("start").alias("byte_start"), F.max(F.col("start") + F.col("size")).alias("byte_end"), F.count(F.lit(1)).alias("n_chunks"), F.min_by("first_doc_id", "start").alias("first_doc_id"))
+        F.min("start").alias("byte_start"), F.max(F.col("start") + F.col("size")).alias("byte_end"), F.sum("new").alias("n_chunks"), F.mode("first_doc_id", True).alias("first_doc_id"))
     found = found.where(F.col("byte_end") - F.col("byte_start") >= least)
     return found.select("doc_id", "byte_start", "byte_end", "n_chunks", "first_doc_id", (F.col("first_doc_id") != F.col("doc_id")).alias("duplicate"))
