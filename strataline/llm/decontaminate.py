@@ -4,9 +4,10 @@ Texts and benchmark items become templates: words (runs of letters, digits and b
 other scripts) in lower case, with numbers, names and units replaced by typed
 placeholders. Windows of ``WINDOW`` template tokens are joined by hash, so an item whose
 numbers or names were changed still meets its copy. Adjacent hits on one diagonal make a
-run; a run is kept when it covers ``least`` tokens (or the whole item, if shorter), when
-enough of its tokens are plain words, and when its slots are consistent: one value in the
-item always became one value in the document.
+run; an item is held when one run covers ``least`` of its tokens (or the whole item, if
+shorter), or when its runs together cover half of it and as many. Enough of the tokens must
+be plain words, and the slots consistent: one value in the item became one value in the
+document. Word for word copies count whatever their words are.
 
 - number: a word that begins with a digit, and a number word (fixed list).
 - name: a capitalised word (not all in capitals) that does not begin a sentence or a line.
@@ -150,26 +151,49 @@ def runs(at: np.ndarray, item: np.ndarray, there: np.ndarray, widths: dict[int,
 
 
 def judged(token: np.ndarray, word: np.ndarray, bench: Benchmark, least: int) -> list[tuple[int, int, int, int, int, int]]:
-    """Kept runs of one document: item, start, end, tokens, slots, slots that changed."""
+    """What one document holds of each item: item, start, end, tokens, slots, slots that changed.
+
+    An item counts by one long run, or by runs in pieces that cover half of it.
+    """
     at, item, there = bench.hits(token)
     if not len(at):
         return []
     widths = {int(i): min(WINDOW, len(bench.token[i])) for i in np.unique(item)}
-    best: dict[int, tuple[int, int, int, int, int, int]] = {}
+    by_item: dict[int, list[tuple[int, int, int]]] = {}
     for i, a, b, n in runs(at, item, there, widths):
-        theirs = bench.token[i][b : b + n]
-        if n < min(least, len(bench.token[i])):
+        by_item.setdefault(i, []).append((n, a, b))
+    out = []
+    for i, found in by_item.items():
+        size = len(bench.token[i])
+        covered, document = np.zeros(size, dtype=bool), np.full(size, -1)  # of the item, and where its tokens stand
+        found.sort(key=lambda r: (-r[0], r[1], r[2]))
+        for n, a, b in found:  # the longest run has the say where runs overlap
+            free = np.flatnonzero(~covered[b : b + n]) + b
+            covered[free], document[free] = True, a + free - b
+        n, a, b = found[0]
+        if n >= min(least, size):  # one run
+            theirs, mine = np.arange(b, b + n), np.arange(a, a + n)
+        elif covered.sum() >= max(least, size / 2):
+            theirs, mine = np.flatnonzero(covered), document[covered]
+        else:
             continue
-        slot = np.isin(theirs, (NUMBER, NAME, UNIT))
-        if n - slot.sum() < PLAIN_SHARE * n:
+        kinds, was, is_ = bench.token[i][theirs], bench.word[i][theirs], word[mine]
+        if not _agrees(was, is_, kinds):
             continue
-        pairs = set(zip(bench.word[i][b : b + n][slot].tolist(), word[a : a + n][slot].tolist()))
-        if len(pairs) != len({x for x, _ in pairs}):
-            continue  # one value of the item became two
-        changed = int((bench.word[i][b : b + n][slot] != word[a : a + n][slot]).sum())
-        if i not in best or n > best[i][3]:
-            best[i] = (i, a, a + n, n, int(slot.sum()), changed)
-    return list(best.values())
+        slot = np.isin(kinds, (NUMBER, NAME, UNIT))
+        out.append((i, int(mine.min()), int(mine.max()) + 1, len(mine), int(slot.sum()), int((was[slot] != is_[slot]).sum())))
+    return out
+
+
+def _agrees(theirs: np.ndarray, mine: np.ndarray, kinds: np.ndarray) -> bool:
+    """The very words; or enough plain ones, and no value of the item that became two."""
+    if (theirs == mine).all():
+        return True
+    slot = np.isin(kinds, (NUMBER, NAME, UNIT))
+    if len(kinds) - slot.sum() < PLAIN_SHARE * len(kinds):
+        return False
+    pairs = set(zip(theirs[slot].tolist(), mine[slot].tolist()))
+    return len(pairs) == len({x for x, _ in pairs})
 
 
 RESULT = "item_id bigint, token_start bigint, token_end bigint, n_tokens bigint, n_slots bigint, changed bigint"

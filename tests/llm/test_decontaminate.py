@@ -36,3 +36,12 @@ def test_short_items_and_repeats(spark):
     docs = spark.createDataFrame([(1, "see: Five plain words stand here!"), (2, "five plain words stand")], "doc_id bigint, text string")
     items = spark.createDataFrame([(15, "five plain words stand here"), (15, "five plain words stand here")], "item_id bigint, text string")
     assert [(r.doc_id, r.item_id, r.n_tokens) for r in D.contaminated(docs, items).collect()] == [(1, 15, 5)]
+
+
+def test_items_in_pieces(spark):
+    words = OTHER.split()
+    edited = " ".join("xx" if k % 10 == 9 else w for k, w in enumerate(words))
+    half = " ".join(words[:9]) + " xx yy " + " ".join(words[18:20])
+    docs = spark.createDataFrame([(1, edited), (2, half)], "doc_id bigint, text string")
+    items = spark.createDataFrame([(11, OTHER)], "item_id bigint, text string")
+    assert [(r.doc_id, r.n_tokens) for r in D.contaminated(docs, items).collect()] == [(1, 26)]
