@@ -1,8 +1,8 @@
 """Quality scores from supervised subword embeddings.
 
 A document's features are its words and its character n-grams (3 and 4 bytes, of the
-whole text, white space and punctuation included), hashed into buckets, and one mark
-that every text has. Each bucket has a learned vector; the mean of a document's vectors
+whole text, white space and punctuation included), hashed into buckets, one echo mark for
+each word that is the same as the 1st to 8th before it, and one mark that every text has. Each bucket has a learned vector; the mean of a document's vectors
 goes through a softmax over the two classes. Vectors and output weights are trained by
 stochastic gradient descent in numpy, one document a step, on at most ``max_train``
 labelled documents (those of least hash of doc_id, whole texts).
@@ -30,7 +30,8 @@ from .language_id import held_out
 
 WORD_BITS, GRAM_BITS, GRAMS = 15, 16, (3, 4)
 MARK = (1 << WORD_BITS) + (1 << GRAM_BITS)
-BUCKETS = MARK + 1
+ECHOES = 8
+BUCKETS = MARK + 1 + ECHOES
 MAX_TRAIN = 4000
 DIM, EPOCHS, RATE = 8, 6, 20.0
 
@@ -40,6 +41,9 @@ def features(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.nd
     for found in H.words(data, offsets, H.EXACT):
         rows = np.repeat(np.arange(found.last - found.first, dtype=np.int32), np.diff(found.ptr))
         yield found.first, (found.hash >> H.U64(64 - WORD_BITS)).astype(np.int32), rows
+        for back in range(1, ECHOES + 1):
+            echo = np.flatnonzero((found.hash[back:] == found.hash[:-back]) & (rows[back:] == rows[:-back]))
+            yield found.first, np.full(len(echo), MARK + back, dtype=np.int32), rows[echo]
         lo, hi = int(offsets[found.first]), int(offsets[found.last])
         most = max(GRAMS)
         for at in range(lo, hi, H.PIECE):

@@ -35,7 +35,7 @@ def test_without_labels(spark):
 
 def test_features_by_hand(monkeypatch):
     monkeypatch.setattr(H, "PIECE", 7)
-    texts = ["ab cd ef gh ij", "", "abc", "ab cd"]
+    texts = ["ab cd ef gh ij", "", "abc", "ab cd", "x x x y x"]
     data, offsets = H.buffers(pa.array(texts))
     got = [[] for _ in texts]
     for first, bucket, row in Q.features(data, offsets):
@@ -45,4 +45,6 @@ def test_features_by_hand(monkeypatch):
         raw = text.encode()
         want = [int(H.Prefix(np.frombuffer(g, np.uint8), H.EXACT).ranges(np.array([0]), np.array([len(g)]))[0] >> H.U64(64 - Q.GRAM_BITS)) + (1 << Q.WORD_BITS) for n in Q.GRAMS for g in (raw[k : k + n] for k in range(len(raw) - n + 1))]
         want += [int(H.Prefix(np.frombuffer(w, np.uint8), H.EXACT).ranges(np.array([0]), np.array([len(w)]))[0] >> H.U64(64 - Q.WORD_BITS)) for w in raw.split()]
+        words = raw.split()
+        want += [Q.MARK + back for back in range(1, Q.ECHOES + 1) for a, b in zip(words, words[back:]) if a == b]
         assert sorted(mine) == sorted(want)
