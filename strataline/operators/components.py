@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..store import materialize
+from ..store import Rounds, materialize
 
 #: Edges of a weakly connected component that one task may solve.
 SMALL = 200_000
@@ -22,9 +22,10 @@ def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     the shuffle and its join can be split. Each round is written to the shared folder.
     Self-loops, repeated edges and nulls are dropped; an empty table gives an empty table.
     """
-    work = materialize(
+    rounds_ = Rounds(edges.sparkSession, "cc")
+    work = rounds_.keep(
         edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        .where("a is not null and b is not null and a <> b").distinct(), "cc")
+        .where("a is not null and b is not null and a <> b").distinct())
     before = None
     for _ in range(rounds):
         both = work.unionByName(work.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -33,7 +34,7 @@ def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         large = large.distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
-        work = materialize(small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct(), "cc")
+        work = rounds_.keep(small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct())
         state = work.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if state == before:
             break

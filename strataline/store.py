@@ -1,4 +1,4 @@
-"""Where intermediate tables go, and how they are written and read back."""
+"""Where intermediate tables go, and how they are written, read back and dropped."""
 
 from __future__ import annotations
 
@@ -35,3 +35,28 @@ def materialize(df: DataFrame, stem: str) -> DataFrame:
     path = new_path(df.sparkSession, stem)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Rounds:
+    """The tables of an iteration, of which only the last stays.
+
+    A round's table may be dropped once the next one is written, because nothing reads it
+    again: the next is in the shared folder itself.
+    """
+
+    def __init__(self, spark: SparkSession, stem: str):
+        self.spark, self.stem, self.last = spark, stem, None
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path = new_path(self.spark, self.stem)
+        df.write.parquet(path)
+        if self.last is not None:
+            delete(self.spark, self.last)
+        self.last = path
+        return self.spark.read.schema(df.schema).parquet(path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Removes a folder of any store that Spark writes to."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
