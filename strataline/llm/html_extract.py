@@ -3,14 +3,15 @@
 A page is read as a stream of tags and character data. Parts that are never article text
 (scripts, styles, forms, navigation, page headers and footers, sidebars, and elements
 whose class, id or role names them as adverts, menus, notices or reader comments) are
-left out with all they hold. What remains is cut into blocks at block-level tags.
+left out with all they hold; an element outside an article that is so named loses its own blocks
+only, not an article in it, because layouts wrap whole pages in such names. Where a page has
+an article or main element, the blocks of those are all that is looked at. What remains is cut into blocks at block-level tags.
 
 Pass 1 judges each block by itself: by its share of words in links, its length in words,
 and its density of stop words (of several languages). It is good, bad, or ambiguous: too
 short, or in between. Pass 2 gives ambiguous blocks the label of their nearest decided
 neighbours: alike on both sides, that; else good if the nearer one is (ties: good), and
-headings look only forward. Blocks in an ``article`` or ``main`` element lean to good,
-blocks outside one (where the page has one) to bad.
+headings look only forward. Blocks in an ``article`` or ``main`` element lean to good.
 
 Character references are decoded, runs of white space inside a block become one space,
 blocks are trimmed and joined by an empty line.
@@ -33,13 +34,13 @@ from pyspark.sql import DataFrame
 # Element names by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes".split())
-DROPPED = frozenset("head nav footer aside form button select option menu dialog canvas svg math object audio video map applet figure fieldset".split()) | RAW
+DROPPED = frozenset("head nav footer aside form button select option menu dialog canvas svg math object audio video map applet fieldset".split()) | RAW
 BLOCK = frozenset("address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES_P = BLOCK - {"html", "body"}
 
 # Words of class, id and role attributes that mark what is not the article.
-MARKS = frozenset("ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion promoted nav navbar navigation menu menubar submenu breadcrumb breadcrumbs pagination pager sidebar sidebars aside rail widget widgets footer header masthead topbar toolbar cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login search share sharing social related recommended recommendations comment comments respond reply replies disqus tags metadata complementary contentinfo banner disclaimer copyright legal skip".split())
+MARKS = frozenset("ad ads adsbygoogle advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion promoted nav navbar navigation menu menubar submenu breadcrumb breadcrumbs pagination pager sidebar sidebars aside rail widget widgets footer header masthead topbar toolbar cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login search share sharing social related recommended recommendations comment comments respond reply replies disqus tags metadata complementary contentinfo banner disclaimer copyright legal skip".split())
 KEPT_MARKS = frozenset("article content main body post entry story text".split())
 
 # Frequent function words of the languages that the rules know.
@@ -69,9 +70,10 @@ class Block(NamedTuple):
     linked: int  # characters in links
     heading: bool
     inside: bool  # of an article or main element
+    marked: bool  # of an element outside articles that is named as something else
 
 
-def _marked(tag: str, attrs: str, inside: bool) -> bool:
+def _marked(attrs: str) -> bool:
     """Whether an element's attributes name it as something other than the article."""
     for m in _MARK_ATTRS.finditer(attrs):
         name, value = m[1].lower(), (m[2] or "").strip("\"'")
@@ -94,7 +96,8 @@ def blocks(page: str) -> tuple[list[Block], bool]:
     linked = links = articles = headings = 0
     found = False
     dropped: list[str] = []  # open elements from the outermost dropped one on
-    open_: list[str] = []  # open articles, headings and links
+    weak: list[str] = []  # open elements from the outermost marked one on, outside articles: one may hold the article
+    around: list[list[str]] = []  # what was open so around each open article
 
     def close() -> None:
         nonlocal linked
@@ -102,7 +105,7 @@ def blocks(page: str) -> tuple[list[Block], bool]:
             joined = _SPACE.sub(" ", charrefs.unescape("".join(text))).strip()
             text.clear()
             if joined:
-                out.append(Block(joined, linked, headings > 0, articles > 0))
+                out.append(Block(joined, linked, headings > 0, articles > 0, bool(weak)))
         linked = 0
 
     at, end = 0, len(page)
@@ -144,8 +147,14 @@ def blocks(page: str) -> tuple[list[Block], bool]:
         elif tag == "br":
             text.append(" ")
         if closing:
+            if tag in weak:
+                if tag not in weak[1:]:
+                    close()  # what the element held is a block of its own
+                while weak.pop() != tag:
+                    pass
             if tag in ("article", "main"):
                 articles = max(0, articles - 1)
+                weak = around.pop() if around else weak
             elif tag in HEADINGS:
                 headings = 0
             elif tag == "a":
@@ -157,18 +166,24 @@ def blocks(page: str) -> tuple[list[Block], bool]:
             continue
         elif tag in ("body", "html"):
             continue
-        elif tag in DROPPED or tag == "header" and not articles or (attrs and tag not in ("article", "main") and _marked(tag, attrs, articles > 0)):
+        elif tag in DROPPED or tag == "header" and not articles or (attrs and (articles or tag in ("article", "main")) and _marked(attrs)):
             dropped.append(tag)
         elif tag in ("article", "main"):
-            if attrs and _marked(tag, attrs, False):
-                dropped.append(tag)
-            else:
-                articles += 1
-                found = True
-        elif tag in HEADINGS:
-            headings = 1
-        elif tag == "a":
-            links = 1
+            around.append(weak)
+            weak = []
+            articles += 1
+            found = True
+        else:
+            if weak or attrs and _marked(attrs):
+                if not weak:
+                    close()
+                elif tag in BLOCK and weak[-1] == "p":
+                    weak.pop()
+                weak.append(tag)
+            if tag in HEADINGS:
+                headings = 1
+            elif tag == "a":
+                links = 1
     close()
     return out, found
 
@@ -184,8 +199,6 @@ def judge(block: Block, has_article: bool) -> int:
         return BAD if n < LONG_WORDS or block.linked > 0.6 * len(block.text) else UNSURE
     density = sum(w in STOP_WORDS for w in words) / n if n else 0.0
     if has_article:
-        if not block.inside:
-            return GOOD if n >= 3 * LONG_WORDS and density >= STOP_HIGH else BAD
         return GOOD if n > SHORT_WORDS else UNSURE
     if n <= SHORT_WORDS:
         return UNSURE
@@ -198,6 +211,9 @@ def judge(block: Block, has_article: bool) -> int:
 
 def main_text(page: str | None) -> str:
     found, has_article = blocks(page or "")
+    if has_article and not any(b.inside for b in found):
+        has_article = False  # an empty one
+    found = [b for b in found if (b.inside if has_article else not b.marked)]
     first = [judge(b, has_article) for b in found]
     n = len(found)
     before, after = [-1] * n, [n] * n  # nearest decided blocks
@@ -215,9 +231,9 @@ def main_text(page: str | None) -> str:
             if b.heading and right != UNSURE:
                 label = right
             elif left == UNSURE and right == UNSURE:
-                label = GOOD if b.inside or not has_article else BAD
+                label = GOOD
             elif UNSURE in (left, right):
-                label = max(left, right) if b.inside or has_article is False else min(x for x in (left, right) if x != UNSURE)
+                label = max(left, right)
             elif left == right:
                 label = left
             else:

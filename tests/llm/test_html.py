@@ -18,6 +18,9 @@ LONG = "The quick fox was on the hill and it was not the only one that we saw th
     (f"<article><ul><li>{LONG}<li>And &eacute;t&eacute; x &#x41; &bogus; &am</ul></article>", f"{LONG}\n\nAnd été x A &bogus; &am"),
     (f"<ul class=menu><li><a>One</a><li><a>Two</a></ul><div><p>{LONG}</p>\n\t<p>{LONG}</p></div>", f"{LONG}\n\n{LONG}"),
     (f"<article><p>{LONG}</p><div hidden>{LONG}</div><p style='display: none'>{LONG}</p></article>", LONG),
+    (f"<div class='content-sidebar-wrap'><article><p>{LONG}</p><figure><img src=x><figcaption>As seen in the morning on the hill.</figcaption></figure></article><div class=sidebar><p>{LONG}</p></div></div><p>{LONG}</p>", f"{LONG}\n\nAs seen in the morning on the hill."),
+    (f"<div class='sidebar'><p>{LONG}<p>{LONG}</div><div id=content><p>{LONG}</p></div><div class='reader-comments'><div><p>{LONG}</p></div></div><ins class=adsbygoogle>{LONG}</ins><p>{LONG}", f"{LONG}\n\n{LONG}"),
+    (f"<article></article><div><p>{LONG}</p></div>", LONG),
     (f"<article><p>unclosed <b>bold {LONG}", f"unclosed bold {LONG}"),
 ])
 def test_main_text(page, text):
