@@ -249,6 +249,16 @@ WORK_TECHNOLOGIES = ("SqlServer", "Oracle", "CosmosDb", "Redis", "AzureServiceBu
 PROFILES = {"work": (tuple(d.kind for d in DETECTORS), WORK_TECHNOLOGIES)}
 
 
+def register_detector(detector: Detector, config_words: tuple[str, ...], profiles: tuple[str, ...] = ("work",), technologies: tuple[str, ...] = ()) -> None:
+    """Adds a detector: its rules, the words that its configuration keys hold, and what of it profiles let through."""
+    global DETECTORS
+    DETECTORS = (*(d for d in DETECTORS if d.kind != detector.kind), detector)
+    CONFIG_WORDS[detector.kind] = config_words
+    for name in profiles:
+        kinds, known = PROFILES.get(name, ((), ()))
+        PROFILES[name] = (tuple(dict.fromkeys((*kinds, detector.kind))), tuple(dict.fromkeys((*known, *technologies))))
+
+
 def profile(name: str | None) -> tuple[tuple[str, ...], tuple[str, ...]]:
     """Kinds and technologies of a profile; blank means ``work``."""
     key = (name or "").strip().lower() or "work"

@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.graph import Model
 
 
+#: Metrics of types beyond the built-in ones: name -> (model -> type_id and a column of that name).
+EXTRA: dict[str, Callable[[Model], DataFrame]] = {}
+
+
+def register_metric(name: str, f: Callable[[Model], DataFrame]) -> None:
+    """Adds a metric of types; ``f`` returns type_id and a column called ``name``."""
+    EXTRA[name] = f
+
+
 def _clamped(name: str) -> Column:
     return F.greatest(F.lit(0), F.col(name)).cast("bigint")
 
@@ -61,7 +73,10 @@ def cohesion(model: Model) -> DataFrame:
 
 
 def type_metrics(model: Model) -> DataFrame:
-    return type_sizes(model).join(type_coupling(model), "type_id").join(cohesion(model), "type_id")
+    rows = type_sizes(model).join(type_coupling(model), "type_id").join(cohesion(model), "type_id")
+    for name, f in EXTRA.items():
+        rows = rows.join(f(model).select("type_id", name), "type_id", "left")
+    return rows
 
 
 def namespace_counts(model: Model) -> DataFrame:
@@ -92,8 +107,14 @@ def namespace_coupling(model: Model) -> DataFrame:
 def dependency_totals(model: Model) -> DataFrame:
     """Distinct dependencies (blanks dropped, external ones kept), and internal ones (loops dropped)."""
     every = model.types.select("full_name", F.explode("depends_on").alias("target")).where(F.trim("target") != "").distinct()
-    return every.agg(F.count(F.lit(1)).alias("total_deps")).crossJoin(  # two single rows
-        model.type_edges.where("src <> dst").distinct().agg(F.count(F.lit(1)).alias("internal_deps")))
+    internal = model.type_edges.where("src <> dst").distinct()
+    return one_row(every.agg(F.count(F.lit(1)).alias("total_deps")), internal.agg(F.count(F.lit(1)).alias("internal_deps")))
+
+
+def one_row(*rows: DataFrame) -> DataFrame:
+    """Single rows of different columns, side by side, without a join."""
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
+    return every.agg(*(F.max(c).alias(c) for c in every.columns))
 
 
 def targets(model: Model, internal: bool) -> DataFrame:
@@ -121,7 +142,7 @@ def summary(model: Model) -> DataFrame:
     by_type = sizes.agg(F.count(F.lit(1)).alias("total_types"), *four("sloc", "sloc"), *four("nom", "methods"), *four("wmc", "complexity"))
     spaces = model.namespaces.agg(F.count(F.lit(1)).alias("total_namespaces"))
     every = (model.all_methods if model.all_methods is not None else model.methods.select("method_id")).agg(F.count(F.lit(1)).alias("every_method"))
-    row = spaces.crossJoin(by_type).crossJoin(every)  # single rows
+    row = one_row(spaces, by_type, every)
     row = row.withColumn("mean_types_per_namespace", ratio(F.col("total_types"), F.col("total_namespaces")))
     row = row.withColumn("total_methods", F.when(F.col("every_method") > 0, F.col("every_method")).otherwise(F.col("total_methods")))
     return row.select("total_namespaces", "total_types", "mean_types_per_namespace", *(f"{k}_{n}" for n in ("sloc", "methods", "complexity") for k in ("total", "avg", "median", "stddev")))

@@ -31,7 +31,11 @@ MODIFIERS = frozenset("public private protected internal static abstract sealed
 STATEMENTS = frozenset("if while for foreach do switch catch using lock fixed checked unchecked try finally else return throw await new typeof nameof sizeof default is as in out ref case when goto yield base this stackalloc var get set add remove init where from select and or not".split())
 NESTING = frozenset("if while for foreach do switch using lock fixed checked try catch finally".split())
 BUILT_IN = {"string": "System.String", "int": "System.Int32", "bool": "System.Boolean", "object": "System.Object", "double": "System.Double", "long": "System.Int64", "decimal": "System.Decimal", "void": "void"}
-CAPTURED = "GetConnectionString GetEnvironmentVariable IConfiguration GetSecret SetSecret SecretClient ISecretProvider SqlConnection NpgsqlConnection OracleConnection MongoClient CosmosClient ServiceBusClient EventGridPublisherClient CreateSender CreateProcessor CreateReceiver BasicPublish BasicConsume AddHttpClient GrpcChannel.ForAddress System.Uri Headers.Add BlobServiceClient GetBlobContainerClient UseSqlServer AddStackExchangeRedisCache".split()
+CAPTURED = """CreateSender CreateProcessor CreateReceiver BasicPublish BasicConsume ServiceBusClient EventGridPublisherClient CosmosClient OracleConnection
+    SqlConnection NpgsqlConnection MongoClient BlobServiceClient GetBlobContainerClient ConnectionFactory AddHttpClient GrpcChannel.ForAddress HttpHeaders.Add
+    HttpRequestHeaders.Add GetEnvironmentVariable GetConnectionString IConfiguration ISecretProvider SecretClient GetSecret SetSecret System.Uri""".split()
+#: Headers by the property that code names, where no compiler tells their type.
+CAPTURED_BY_SYNTAX = ("RequestHeaders.Add", "Headers.Add")
 
 
 class Token(NamedTuple):
@@ -408,7 +412,7 @@ def arguments(ts: list[Token]) -> list[dict]:
         target = ".".join(x.text for x in ts[first : k + 1] if x.kind == "name")
         if target == "Uri":
             target = "System.Uri"
-        if not any(c.lower() in target.lower() for c in CAPTURED):
+        if not any(c.lower() in target.lower() for c in (*CAPTURED, *CAPTURED_BY_SYNTAX)):
             continue
         close, depth, index, held = _match(ts, k + 1, "(", ")"), 0, 0, []
         for x in [*ts[k + 2 : close], Token("op", ",", 0, 0)]:

@@ -45,6 +45,12 @@ def check_request(path: str | None, repo_url: str | None) -> None:
         raise ValueError("give exactly one of a path and a repository URL")
 
 
+def check_loaded(projects: int, failures: list[str], root: str) -> None:
+    """Failures count only where nothing was loaded."""
+    if not projects and failures:
+        raise RuntimeError("\n".join([f"nothing could be loaded from {root}", *(f"- {f}" for f in failures)]))
+
+
 @contextmanager
 def workdir(prefix: str = "strataline-", keep: bool = False) -> Iterator[str]:
     """A temporary folder of the driver, removed afterwards."""

@@ -82,3 +82,20 @@ def test_profiles():
 @pytest.mark.parametrize(("value", "kind"), [("Endpoint=sb://x/;SharedAccessKey=k", "ServiceBus"), ("Server=db;Port=3306;Uid=root", "PostgreSQL"), ("User Id=s;Data Source=orcl;SID=x", "Oracle"), ("Data Source=app.sqlite", "SqlServer"), ("", "Unknown"), (None, "Unknown")])
 def test_connection_kinds(value, kind):
     assert I.connection_kind(value) == kind
+
+
+def test_registered_detector(spark):
+    from strataline import queries
+
+    before = I.DETECTORS, dict(I.CONFIG_WORDS), dict(I.PROFILES)
+    mine = I.Detector("Search", "Search", lambda key, value: ("main", "Elastic", value) if "elastic" in key.lower() else None, packages=(("Elastic", ("NEST",)),), invocations=(("Elastic", ("IndexDocument",)),), types=(("Elastic", ("ElasticClient",)),))
+    try:
+        I.register_detector(mine, ("Elastic",), technologies=("Elastic",))
+        rows = [("s", "config", "Elastic:Url", "http://e", 0), ("s", "package", "NEST", None, 1), ("s", "type", "Nest.ElasticClient", None, 2)]
+        found = I.in_profile(I.detect(queries._signals(spark.createDataFrame(rows, "snapshot_id string, phase string, text string, value string, position int")))).collect()
+        assert [(r.id, r.technology, round(r.confidence, 2)) for r in found] == [("ext:search:main", "Elastic", 1.0)]
+    finally:
+        I.DETECTORS = before[0]
+        I.CONFIG_WORDS.pop("Search", None)
+        I.PROFILES.clear()
+        I.PROFILES.update(before[2])

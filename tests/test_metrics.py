@@ -148,3 +148,12 @@ def test_evidence_order(spark):
     rows = [("k", "ConfigKey", "b", 2, "x"), ("k", "ConfigKey", "b", None, "x"), ("k", "Invocation", None, None, "y"), ("k", "ConfigKey", "b", 2, "x")]
     got = evidence.distinct_evidence(spark.createDataFrame(rows, "k string, kind string, file_path string, line int, details string"), "k").orderBy("position").collect()
     assert [(r["kind"], r["line"]) for r in got] == [("Invocation", None), ("ConfigKey", None), ("ConfigKey", 2)]
+
+
+def test_registered_metric(spark):
+    g = graph(spark, [("N.A", "Class", False, ["f", "g"], [])])
+    metrics.register_metric("fields_squared", lambda m: m.types.select("type_id", (F.size("fields") * F.size("fields")).alias("fields_squared")))
+    try:
+        assert metrics.type_metrics(g.model()).first()["fields_squared"] == 4
+    finally:
+        metrics.EXTRA.clear()

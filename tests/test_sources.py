@@ -138,3 +138,10 @@ def test_watched_folder(spark, snapshot, tmp_path):
     incremental.watch(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp"), available_now=True).awaitTermination(120)
     rows = spark.read.parquet(str(tmp_path / "out"))
     assert rows.count() == 3 and rows.agg(F.sum("nom")).first()[0] == 4
+
+
+def test_failures_count_only_where_nothing_loaded():
+    files.check_loaded(1, ["x"], "r")
+    files.check_loaded(0, [], "r")
+    with pytest.raises(RuntimeError, match="- x"):
+        files.check_loaded(0, ["x"], "r")
