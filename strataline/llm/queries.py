@@ -98,3 +98,27 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pieces import digests
 
     return digests(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL["op2_minhash_dedup"] = r"""
+with recursive d as (
+    select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
+    else list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) end) as g from d),
+n as (select doc_id, count(*) as n from s group by 1),
+p as (select a.doc_id as x, b.doc_id as y, count(*) as i from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+l as (select x, y from p join n nx on x = nx.doc_id join n ny on y = ny.doc_id where 100 * i >= 85 * (nx.n + ny.n - i)),
+e as (select x, y from l union all select y, x from l),
+r(a, b) as (select doc_id, doc_id from documents union select r.a, e.y from r join e on r.b = e.x),
+c as (select a as doc_id, min(b) as component_id from r group by 1)
+select doc_id, coalesce(n.n, 0)::bigint as n_shingles, component_id, doc_id = component_id as kept from c left join n using (doc_id)
+"""
+
+ORACLE_SQL["op7_embedding_dedup"] = """
+with recursive v as (select vec_id, label, embedding::double[] as x from embeddings),
+l as (select a.vec_id as x, b.vec_id as y from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and list_cosine_similarity(a.x, b.x) >= 0.93),
+r(a, b) as (select vec_id, vec_id from v union select r.a, l.y from r join l on r.b = l.x),
+c as (select a as vec_id, min(b) as component_id from r group by 1),
+n as (select x as vec_id, count(*) as n from l group by 1)
+select vec_id, coalesce(n, 0)::bigint as n_links, component_id, vec_id = component_id as kept from c left join n using (vec_id)
+"""
