@@ -45,13 +45,11 @@ KEPT_MARKS = frozenset("article content main body post entry story text".split()
 
 # Frequent function words of the languages that the rules know.
 STOP_WORDS = frozenset("""
-a about after all also an and any are as at be because been but by can could did do for from had has have he her him his how i if in into is it its just more my no not of on one only or other our out over she so some than that the their them then there these they this to up was we were what when which who will with would you your
-au aux avec ce ces cette comme dans de des du elle en est et eux il ils je la le les leur lui mais me ne nous on ont ou par pas plus pour qu que qui sa se ses si son sont sur un une vous y
-aber als am an auch auf aus bei bin bis da das dass dem den der des die durch ein eine einem einen einer es für hat ich ihr im in ist ja kann man mit nach nicht noch nur oder sein sich sie sind so über um und uns von vor war was wenn wie wir wird zu zum zur
-al como con cuando del desde donde el ella entre era es esta este fue ha hay la las lo los más muy no nos o para pero por porque que se sin sobre su sus también te un una uno y ya
-che con da dei del della di e gli il in la le lo ma nel non per più si sono un una
-da do dos e em mais na não nas no nos o os ou para pela pelo por que se sem seu sua um uma
-aan bij dan dat de die een en er het hij in is maar met naar niet of om ook op te van voor was wat zijn
+a about after all also an and any are as at be because been but by can for from had has have he her his how i if in into is it its
+more my no not of on one or other our out she so some than that the their them then there they this to up was we were what when which who will with would you
+au aux avec ce cette comme dans de des du elle en est et il ils je la le les leur lui mais ne nous ont ou par pas plus pour qu que qui sa se ses son sont sur un une vous
+aber als am auch auf aus bei das dass dem den der die ein eine einem einen einer es für hat ich im ist mit nach nicht noch nur oder sich sie sind so um und von war wenn wie wird zu zum zur
+al como con del el era los lo las muy para pero por se sin su sus también y ya no es
 """.split())
 
 LONG_WORDS, SHORT_WORDS = 30, 9
