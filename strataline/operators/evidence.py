@@ -8,16 +8,46 @@ from pyspark.sql import functions as F
 from ..schema import EVIDENCE_KINDS
 
 
-def clamped_fold(ordered_weights: Column) -> Column:
-    """0 plus each weight in turn, held to [0, 1] after every step."""
-    return F.aggregate(ordered_weights, F.lit(0.0), lambda acc, w: F.least(F.lit(1.0), F.greatest(F.lit(0.0), acc + w)))
+def clip(x: Column, low: Column, high: Column) -> Column:
+    return F.least(high, F.greatest(low, x))
 
 
-def confidence(evidence: DataFrame, key: str, order: list[str], weight: str) -> DataFrame:
-    """The folded confidence of each candidate whose confidence is positive."""
+def folded(ordered_weights: Column) -> Column:
+    """What a run of weights does to a confidence x: clip(x + shift, low, high).
+
+    Adding and clamping composes to another such function, so runs can be folded apart
+    and their results one after the other.
+    """
+    start = F.struct(F.lit(0.0).alias("shift"), F.lit(float("-inf")).alias("low"), F.lit(float("inf")).alias("high"))
+
+    def step(f: Column, w: Column) -> Column:
+        zero, one = F.lit(0.0), F.lit(1.0)
+        return F.struct((f["shift"] + w).alias("shift"), clip(f["low"] + w, zero, one).alias("low"), clip(f["high"] + w, zero, one).alias("high"))
+
+    return F.aggregate(ordered_weights, start, step)
+
+
+def composed(ordered: Column) -> Column:
+    """The functions of ``folded`` one after the other, applied to 0."""
+    start = F.struct(F.lit(0.0).alias("shift"), F.lit(float("-inf")).alias("low"), F.lit(float("inf")).alias("high"))
+
+    def then(f: Column, g: Column) -> Column:
+        return F.struct((f["shift"] + g["shift"]).alias("shift"), clip(f["low"] + g["shift"], g["low"], g["high"]).alias("low"), clip(f["high"] + g["shift"], g["low"], g["high"]).alias("high"))
+
+    return F.aggregate(ordered, start, then, lambda f: clip(f["shift"], f["low"], f["high"]))
+
+
+def confidence(evidence: DataFrame, key: str, order: list[str], weight: str, chunk: Column | None = None) -> DataFrame:
+    """The confidence of each candidate, clamped to [0, 1] at every step, where it is positive.
+
+    ``chunk`` must not fall along ``order``; with it a candidate's evidence is folded chunk by
+    chunk in tasks of their own, so no candidate is gathered whole.
+    """
+    rows = evidence.select(key, *order, weight, (F.lit(0) if chunk is None else chunk).alias("_chunk"))
     packed = F.array_sort(F.collect_list(F.struct(*order, weight)))
-    rows = evidence.groupBy(key).agg(F.transform(packed, lambda x: x[weight]).alias("w"))
-    return rows.select(key, clamped_fold(F.col("w")).alias("confidence")).where("confidence > 0")
+    parts = rows.groupBy(key, "_chunk").agg(folded(F.transform(packed, lambda x: x[weight])).alias("f"))
+    whole = parts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_chunk", "f"))).alias("fs"))
+    return whole.select(key, composed(F.transform("fs", lambda x: x["f"])).alias("confidence")).where("confidence > 0")
 
 
 def kind_ordinal(kind: Column) -> Column:

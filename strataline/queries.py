@@ -200,7 +200,7 @@ c as (select user_id, list_reduce(ws, lambda a, w: least(1.0, greatest(0.0, a +
 select user_id, round(confidence, 6)::double as confidence from c where confidence > 0""")
 def confidence_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = B.table(spark, sf_dir, "events").select("user_id", "ts", "event_id", F.expr(WEIGHT).alias("w"))
-    return rounded(evidence.confidence(events, "user_id", ["ts", "event_id"], "w"), "confidence")
+    return rounded(evidence.confidence(events, "user_id", ["ts", "event_id"], "w", F.to_date("ts")), "confidence")
 
 
 @register("evidence_dedup", """

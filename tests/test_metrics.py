@@ -143,6 +143,9 @@ def test_confidence_is_clamped_at_every_step(spark):
     got = by(evidence.confidence(spark.createDataFrame(rows, "k string, o int, w double"), "k", ["o"], "w"), "k")
     assert {k: round(v["confidence"], 6) for k, v in got.items()} == {"a": 0.5, "b": 0.2}
 
+    chunked = by(evidence.confidence(spark.createDataFrame(rows, "k string, o int, w double"), "k", ["o"], "w", F.col("o")), "k")
+    assert {k: round(v["confidence"], 6) for k, v in chunked.items()} == {"a": 0.5, "b": 0.2}
+
 
 def test_evidence_order(spark):
     rows = [("k", "ConfigKey", "b", 2, "x"), ("k", "ConfigKey", "b", None, "x"), ("k", "Invocation", None, None, "y"), ("k", "ConfigKey", "b", 2, "x")]
