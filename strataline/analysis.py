@@ -9,6 +9,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import session
 from .operators import components, integrations
 from .operators.usage import rolled_up
 from .plans.graph import Graph, Model
@@ -59,6 +60,7 @@ def snapshot(graph: Graph, signals: DataFrame | None = None, profile: str | None
 def analyze(spark: SparkSession, path: str | None = None, repo_url: str | None = None, profile: str | None = "work", exclude: tuple[str, ...] = files.DEFAULT_EXCLUDES) -> Snapshot:
     """A source tree, an exported ``.json`` graph, or a repository to clone."""
     files.check_request(path, repo_url)
+    session.prepare(spark)
     integrations.profile(profile)
     if repo_url:
         with files.workdir() as folder:

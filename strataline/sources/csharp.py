@@ -272,10 +272,14 @@ def parse(text: str) -> list[TypeFound]:
         full = f"{outer}.{name}" if outer else name
         end = _match(ts, head) if head < hi and ts[head].text == "{" else head
         body: tuple[list, list, list] = members(head + 1, end) if ts[min(head, len(ts) - 1)].text == "{" and kind != "Enum" else ([], [], [])
+        own = {f: k for f, k, _ in body[0]}
         for m in body[1]:
             if m["name"] == name:
                 m["name"] = ".ctor"
             m["is_public"] = m["is_public"] or kind == "Interface"
+            scope = own | m.pop("scope")
+            m["called"] = [typed(c, scope) for c in m["called"]]
+            m["arguments"] = [a | {"Target": typed(a["Target"], scope)} for a in m["arguments"] if captured(typed(a["Target"], scope))]
         words = [t.text for t in ts[start:k]]
         used = sorted({t.text for t in ts[k:end] if t.kind == "name" and t.text not in STATEMENTS and t.text not in MODIFIERS and t.text not in TYPE_WORDS} - {name})
         out.append(TypeFound(namespace, full, kind, "abstract" in words or kind == "Interface", body[0], body[1], used, bases, usings))
@@ -364,17 +368,50 @@ def parse(text: str) -> list[TypeFound]:
                 held.append(t.text)
         if held:
             parts.append(held)
-        kinds = ["".join(w for w in (p[: p.index("=")] if "=" in p else p)[:-1] if w not in ("this", "ref", "out", "in", "params")) for p in parts]
-        return described(ts[at].text, kinds, "public" in words, ts[start : end + 1], ts[body : end + 1])
+        parts = [p[: p.index("=")] if "=" in p else p for p in parts]
+        kinds = ["".join(w for w in p[:-1] if w not in ("this", "ref", "out", "in", "params")) for p in parts]
+        return described(ts[at].text, kinds, "public" in words, ts[start : end + 1], ts[body : end + 1], {p[-1]: k for p, k in zip(parts, kinds) if p})
 
-    def described(name: str, kinds: list[str], public: bool, whole: list[Token], body: list[Token] | None = None) -> dict:
+    def described(name: str, kinds: list[str], public: bool, whole: list[Token], body: list[Token] | None = None, scope: dict[str, str] | None = None) -> dict:
         inner = body if body is not None else whole
-        return {"name": name, "parameters": kinds, "is_public": public, "sloc": sloc(whole), "decisions": decisions(inner), "nesting": nesting(inner), "called": called(inner), "names": sorted({t.text for t in inner if t.kind == "name"}), "arguments": arguments(inner), "created": created(inner)}
+        return {"scope": (scope or {}) | locals_(inner), "name": name, "parameters": kinds, "is_public": public, "sloc": sloc(whole), "decisions": decisions(inner), "nesting": nesting(inner), "called": called(inner), "names": sorted({t.text for t in inner if t.kind == "name"}), "arguments": arguments(inner), "created": created(inner)}
 
     types_in(0, len(ts), "", "")
     return out
 
 
+def locals_(ts: list[Token]) -> dict[str, str]:
+    """Types of variables that are declared with a creation: ``var x = new T`` and ``T x = new``."""
+    out = {}
+    for k in range(len(ts) - 3):
+        if ts[k].kind == ts[k + 1].kind == "name" and ts[k + 2].text == "=" and ts[k + 3].text == "new":
+            made = _dotted(ts, k + 4)[0]
+            out[ts[k + 1].text] = made or ts[k].text
+    return out
+
+
+def typed(target: str, scope: dict[str, str]) -> str:
+    """A call's dotted text with the type of its receiver, where that is known, for its name."""
+    parts = target.split(".")
+    if parts[0] == "this" and len(parts) > 1:
+        parts = parts[1:]
+    if len(parts) > 1 and parts[0] in scope:
+        parts[0] = re.sub(r"[<?\[].*$", "", scope[parts[0]]) or parts[0]
+    return ".".join(parts)
+
+
+def captured(target: str) -> bool:
+    low = target.lower()
+    return any(c.lower() in low for c in (*CAPTURED, *CAPTURED_BY_SYNTAX))
+
+
+def qualified(name: str, usings: list[str]) -> str:
+    """A foreign type's name with the imported namespace that shares a word with it, if one does."""
+    words = [w.lower() for w in re.findall(r"[A-Z][a-z0-9]{3,}|[A-Z]{3,}", name)]
+    space = next((u for u in usings if any(w in u.lower() for w in words)), None)
+    return f"{space}.{name}" if space and "." not in name else name
+
+
 def called(ts: list[Token]) -> list[str]:
     """The dotted text of every call."""
     out = []
@@ -412,8 +449,6 @@ def arguments(ts: list[Token]) -> list[dict]:
         target = ".".join(x.text for x in ts[first : k + 1] if x.kind == "name")
         if target == "Uri":
             target = "System.Uri"
-        if not any(c.lower() in target.lower() for c in (*CAPTURED, *CAPTURED_BY_SYNTAX)):
-            continue
         close, depth, index, held = _match(ts, k + 1, "(", ")"), 0, 0, []
         for x in [*ts[k + 2 : close], Token("op", ",", 0, 0)]:
             if x.text == "," and depth == 0:
@@ -431,11 +466,13 @@ def arguments(ts: list[Token]) -> list[dict]:
 
 def file_rows(path: str, text: str) -> Iterator[dict]:
     for order, t in enumerate(parse(text)):
-        yield {"path": path, "position": order, "namespace": t.namespace, "name": f"{t.namespace}.{t.name}" if t.namespace else t.name, "kind": t.kind, "is_abstract": t.is_abstract,
+        signatures = [k for _, k, _ in t.fields] + [k for m in t.methods for k in m["parameters"]] + [c for m in t.methods for c in m["created"]] + t.bases
+        foreign = sorted({n for k in signatures for n in re.findall(r"[A-Za-z_][\w.]*", k) if n not in BUILT_IN and n not in MODIFIERS and n not in STATEMENTS and len(n) > 1})
+        yield {"foreign": [[n.rpartition(".")[2], qualified(n, t.usings)] for n in foreign], "path": path, "position": order, "namespace": t.namespace, "name": f"{t.namespace}.{t.name}" if t.namespace else t.name, "kind": t.kind, "is_abstract": t.is_abstract,
                "fields": json.dumps(t.fields), "methods": json.dumps(t.methods), "names": t.names, "bases": t.bases}
 
 
-FILE_ROWS = "path string, position int, namespace string, name string, kind string, is_abstract boolean, fields string, methods string, names array<string>, bases array<string>"
+FILE_ROWS = "path string, position int, namespace string, name string, kind string, is_abstract boolean, fields string, methods string, names array<string>, bases array<string>, foreign array<array<string>>"
 
 
 def types(files: DataFrame) -> DataFrame:
@@ -475,11 +512,10 @@ def tree_graph(files: DataFrame, projects: DataFrame, solution: str, legacy_zero
     used = found.select("project_id", "type_id", "name", F.explode("names").alias("simple")).join(known, ["project_id", "simple"]).where("target <> name")
     based = found.select("project_id", "type_id", "name", F.explode("bases").alias("base")).withColumn("simple", F.regexp_extract("base", r"([^.]+)$", 1))
     based = based.join(known, ["project_id", "simple"], "left")
-    outside = based.where("target is null").select("type_id", F.col("base").alias("target"))
     created_type = "array<struct<name:string,parameters:array<string>,is_public:boolean,sloc:int,decisions:int,nesting:int,called:array<string>,names:array<string>,arguments:array<struct<Target:string,ArgumentIndex:int,Value:string,IsResolved:boolean>>,created:array<string>>>"
     methods = found.select("project_id", "type_id", "name", F.from_json("fields", "array<array<string>>").alias("fields"), F.posexplode(F.from_json("methods", created_type)).alias("at", "m"))
-    created_ = methods.select("project_id", "type_id", F.explode("m.created").alias("simple"))
-    outside = outside.unionByName(created_.join(known, ["project_id", "simple"], "left_anti").select("type_id", F.col("simple").alias("target")))
+    foreign = found.select("project_id", "type_id", F.explode("foreign").alias("x")).select("project_id", "type_id", F.col("x")[0].alias("simple"), F.col("x")[1].alias("target"))
+    outside = foreign.join(known.select("project_id", "simple"), ["project_id", "simple"], "left_anti").select("type_id", "target")
     depends = used.select("type_id", "target").unionByName(outside).where("trim(target) <> ''").groupBy("type_id").agg(F.array_sort(F.collect_set("target")).alias("depends_on"))
 
     own = F.transform("fields", lambda f: F.get(f, 0))

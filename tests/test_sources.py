@@ -145,3 +145,35 @@ def test_failures_count_only_where_nothing_loaded():
     files.check_loaded(0, [], "r")
     with pytest.raises(RuntimeError, match="- x"):
         files.check_loaded(0, ["x"], "r")
+
+
+def test_receivers_get_their_types():
+    found = csharp.parse("""using Microsoft.Azure.Cosmos;
+class Repo { private readonly ISecretProvider _secrets; IConfiguration config;
+  Repo(CosmosClient client, string name = "x") { var key = _secrets.Get("COSMOS_KEY"); client.CreateDatabase(name); var b = new SqlConnection("Server=x"); b.Open(); this.config.GetSection("Db"); } }""")[0]
+    m = found.methods[0]
+    assert m["called"] == ["ISecretProvider.Get", "CosmosClient.CreateDatabase", "SqlConnection.Open", "IConfiguration.GetSection"]
+    assert [(a["Target"], a["Value"]) for a in m["arguments"]] == [("ISecretProvider.Get", "COSMOS_KEY"), ("CosmosClient.CreateDatabase", None), ("SqlConnection", "Server=x"), ("IConfiguration.GetSection", "Db")]
+    assert csharp.qualified("CosmosClient", found.usings) == "Microsoft.Azure.Cosmos.CosmosClient" and csharp.qualified("Widget", found.usings) == "Widget"
+
+
+SAMPLES = [
+    ("Cosmos", "Microsoft.Azure.Cosmos", '{"Cosmos":{"Endpoint":"https://e.documents.azure.com"}}', "using Microsoft.Azure.Cosmos; class R { R(ISecretProvider s) { var c = new CosmosClient(\"https://e\", s.Get(\"COSMOS_KEY\")); } }", ("ext:database:cosmos", "CosmosDb")),
+    ("Redis", "StackExchange.Redis", '{"Redis":{"Configuration":"h:6379,password=Hidden1"}}', "class R { void M(S services) { services.AddStackExchangeRedisCache(o => {}); } }", ("ext:cache:redis", "Redis")),
+    ("Bus", "Azure.Messaging.ServiceBus", '{"ServiceBus":{"ConnectionString":"Endpoint=sb://x;SharedAccessKey=Hidden2"}}', "class R { void M(ServiceBusClient c) { var s = c.CreateSender(\"orders\"); } }", ("ext:messagebus:servicebus", "AzureServiceBus")),
+    ("Blob", "Azure.Storage.Blobs", '{"Storage":{"ConnectionString":"AccountName=a;AccountKey=Hidden3"}}', "class R { void M() { var c = new BlobServiceClient(\"u\"); c.GetBlobContainerClient(\"pics\"); } }", ("ext:storage:default", "AzureBlob")),
+    ("Vault", "Azure.Security.KeyVault.Secrets", '{"KeyVault":{"VaultUri":"https://v"}}', "class R { void M(SecretClient c) { c.GetSecret(\"ApiKey\"); } }", ("ext:secrets:keyvault", "AzureKeyVault")),
+    ("Otel", "OpenTelemetry.Api", '{"OpenTelemetry":{"OtlpEndpoint":"https://o"}}', "class R { void M(S s) { s.AddOpenTelemetry(); } }", ("ext:observability:opentelemetry", "OpenTelemetry")),
+]
+
+
+def test_samples_are_told_with_confidence(spark, tmp_path):
+    for name, package, settings_, code, _ in SAMPLES:
+        (tmp_path / name).mkdir()
+        (tmp_path / name / f"{name}.csproj").write_text(f'<Project><PackageReference Include="{package}"/></Project>')
+        (tmp_path / name / "appsettings.json").write_text(settings_)
+        (tmp_path / name / "R.cs").write_text(code)
+        found = {r.id: r for r in analysis.analyze(spark, str(tmp_path / name)).candidates.collect()}
+        want, technology = next(w for n, *_, w in SAMPLES if n == name)
+        assert found[want].technology == technology and found[want].confidence >= 0.85, name
+        assert "Hidden" not in str(found) and {"PackageReference", "ConfigKey"} <= {e.kind for e in found[want].evidence} and found[want].used_by
