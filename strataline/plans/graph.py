@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import extract_namespace, json_list, parse_bool, parse_int
@@ -74,6 +74,30 @@ class Graph:
         return Model(projects, namespaces, namespaces.select("project_id", "ns_id").join(types, "ns_id"), methods, edges, self.of_kind("Method").select(F.col("id").alias("method_id")))
 
 
+MARK = "|"
+
+
+def batched(graph: Graph) -> Graph:
+    """Many snapshots as one graph: ids and type and namespace names get their ``snapshot_id`` before them.
+
+    All metrics then run over any number of repositories in one plan, and ``snapshot_of``
+    tells the rows of the results apart.
+    """
+    tag = F.concat(F.replace("snapshot_id", F.lit(MARK), F.lit("_")), F.lit(MARK))
+    depends = F.expr(f"transform_values(attributes, (k, v) -> if(k = 'dependsOnTypes', to_json(transform(from_json(v, 'array<string>'), x -> if(trim(x) = '', x, concat(replace(snapshot_id, '{MARK}', '_'), '{MARK}', x)))), v))")
+    nodes = graph.nodes.select("snapshot_id", F.concat(tag, "id").alias("id"), "kind", F.when(F.col("kind").isin("Type", "Namespace"), F.concat(tag, "name")).otherwise(F.col("name")).alias("name"), depends.alias("attributes"), "evidence")
+    edges = graph.edges.withColumn("from_id", F.concat(tag, "from_id")).withColumn("to_id", F.concat(tag, "to_id"))
+    return Graph(nodes, edges)
+
+
+def snapshot_of(column: str) -> Column:
+    return F.substring_index(column, MARK, 1)
+
+
+def without_snapshot(column: str) -> Column:
+    return F.expr(f"substr({column}, instr({column}, '{MARK}') + 1)")
+
+
 def encode(model: Model) -> Graph:
     """A model as nodes and edges with string attributes, the form in which graphs are exchanged."""
     none = F.create_map().cast("map<string,string>")

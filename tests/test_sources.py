@@ -5,9 +5,9 @@ import json
 import zipfile
 
 import pytest
-from pyspark.sql import functions as F
 
 from strataline import analysis
+from strataline.operators import metrics
 from strataline.sinks import reports
 from strataline.sources import csharp, files, settings
 from strataline.streaming import incremental
@@ -133,11 +133,22 @@ def test_parsing():
 
 
 def test_watched_folder(spark, snapshot, tmp_path):
+    text = reports.to_json(snapshot)
     (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "one.json").write_text(reports.to_json(snapshot))
-    incremental.watch(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp"), available_now=True).awaitTermination(120)
-    rows = spark.read.parquet(str(tmp_path / "out"))
-    assert rows.count() == 3 and rows.agg(F.sum("nom")).first()[0] == 4
+
+    def run():
+        incremental.watch(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp"), available_now=True).awaitTermination(120)
+        return {(r.snapshot, r.type_id): r for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+
+    for name in ("one.json", "two.json"):
+        (tmp_path / "in" / name).write_text(text)
+    found = run()
+    assert len(found) == 6 and sum(r.nom for r in found.values()) == 8
+    (tmp_path / "in" / "three.json").write_text(text)
+    assert len(run()) == 9
+    mine = {r.type_id: r for r in metrics.type_metrics(snapshot.model).collect()}
+    for (_, type_id), r in run().items():
+        assert all(r[c] == mine[type_id][c] for c in ("sloc", "wmc", "dep", "i_dep", "fan_in", "fan_out", "noa", "lcom3"))
 
 
 def test_failures_count_only_where_nothing_loaded():
