@@ -160,3 +160,15 @@ def test_registered_metric(spark):
         assert metrics.type_metrics(g.model()).first()["fields_squared"] == 4
     finally:
         metrics.EXTRA.clear()
+
+
+def test_snapshots_do_not_mix(spark):
+    from strataline.plans.graph import batched, snapshot_of, without_snapshot
+
+    one = graph(spark, [("N.A", "Class", False, ["f"], ["N.B"]), ("N.B", "Class", False, [], [" "])], [("N.A", "m", 0, 3, 1, 0, 0, True, [])], [("N.A", "N.B")])
+    two = Graph(*(df.withColumn("snapshot_id", F.explode(F.array(F.lit("x"), F.lit("y|z")))) for df in (one.nodes, one.edges)))
+    rows = metrics.type_metrics(batched(two).model()).withColumn("s", snapshot_of("type_id")).withColumn("type_id", without_snapshot("type_id"))
+    alone = {r["type_id"]: tuple(r) for r in metrics.type_metrics(one.model()).collect()}
+    got = {(r["s"], r["type_id"]): tuple(r)[:-1] for r in rows.collect()}
+    assert got == {(s, k): v for s in ("x", "y_z") for k, v in alone.items()}
+    assert metrics.namespace_counts(batched(two).model()).count() == 2
