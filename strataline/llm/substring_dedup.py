@@ -3,17 +3,20 @@
 A gear hash over the last 16 bytes of a text decides where chunks end, so the cuts
 depend on content alone: text inserted before a passage moves its chunks but does not
 change them. Chunks (24 bytes on average) are compared by 64-bit digest. A chunk whose
-digest stands in two or more documents is repeated; runs of adjacent repeated chunks
-make a passage, and passages of at least ``least`` bytes are reported.
+digest stands in two or more documents is repeated; adjacent repeated chunks make a run.
 
-The chunk ends of a passage are found only inside it, so of a repeated passage of n
-bytes about n - 16 - 2 * 24 are covered on average: with ``least`` = 96, a passage of 51
-words of 6 bytes is missed about once in 500 times, longer ones less.
+A run in which ``min_words`` words begin is a passage (16 bytes count as a word at least, for
+text without white space). Cuts are found only inside a
+passage, so at either end about a chunk of it is not in its run: shorter runs of at least
+``LEAST`` bytes are compared, byte by byte, with the documents that their chunks stand in
+first and last, and are passages if what both texts hold there has ``min_words`` words. A
+passage of n bytes has a shorter run than that less than once in 1,500 times at n = 313
+(51 words), and less for longer ones.
 
 Digests are aggregated (first and last document) before the shuffle; a digest that is
 everywhere costs one row a task. The join back is on the digest and may be split.
 
-Result rows: doc_id, byte_start, byte_end (of the UTF-8 text), n_chunks, first_doc_id
+Result rows: doc_id, byte_start, byte_end (of the UTF-8 text), n_words, first_doc_id
 (where most of the passage's chunks stand first; ties: the least) and duplicate (it is not
 this one, so this copy can go). Documents without a repeated passage have no row. Repeats
 inside one document do not count. Null and empty texts, rows with a null doc_id and
@@ -34,7 +37,10 @@ from ..store import materialize
 
 AVERAGE = 24
 WINDOW = 16
-LEAST = 96
+LEAST = 64
+MIN_WORDS = 50
+BYTES_A_WORD = 16  # at most: text without white space has words too
+WORD_BITS = 24  # of a chunk's place, for the words that begin in it
 _GEAR = (H.stream64(256, 31) >> H.U64(48)).astype(np.uint16)
 
 
@@ -48,8 +54,8 @@ def gear(data: np.ndarray) -> np.ndarray:
     return h
 
 
-def chunks(data: np.ndarray, offsets: np.ndarray, average: int = AVERAGE) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(row, start, end, digest) of each chunk in groups; positions from the row's start."""
+def chunks(data: np.ndarray, offsets: np.ndarray, average: int = AVERAGE) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, start, end, words that begin in it, digest) of each chunk in groups; positions from the row's start."""
     line = np.uint16((1 << 16) // average)
     for first, last in H.groups(offsets):
         lo, hi = int(offsets[first]), int(offsets[last])
@@ -76,35 +82,97 @@ def chunks(data: np.ndarray, offsets: np.ndarray, average: int = AVERAGE) -> Ite
             digest[at:to] = H.Prefix(data[base : int(end[to - 1])], H.EXACT).ranges(start[at:to] - base, end[at:to] - base)
             at = to
         row = np.searchsorted(offsets, start, side="right") - 1
-        yield row, start - offsets[row], end - offsets[row], digest
+        text = ~H.SPACE[data[lo:hi]]
+        begins = text.copy()
+        begins[1:] &= ~text[:-1]
+        begins[rows - lo] = text[rows - lo]
+        words = np.append(0, np.cumsum(begins, dtype=np.int64))
+        yield row, start - offsets[row], end - offsets[row], words[end - lo] - words[start - lo], digest
 
 
 def chunked(docs: DataFrame, average: int = AVERAGE) -> DataFrame:
-    """(digest, doc_id, start, size) of each chunk."""
+    """(digest, doc_id, place, size) of each chunk; place is its start, then the number of its words."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = H.buffers(batch.column("text"))
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            for row, start, end, digest in chunks(data, offsets, average):
-                yield pa.RecordBatch.from_arrays([pa.array(digest.view(np.int64)), pa.array(ids[row]), pa.array(start.astype(np.int64)), pa.array((end - start).astype(np.int32))], names=["digest", "doc_id", "start", "size"])
+            for row, start, end, words, digest in chunks(data, offsets, average):
+                place = (start.astype(np.int64) << WORD_BITS) + np.minimum(words, (1 << WORD_BITS) - 1)
+                yield pa.RecordBatch.from_arrays([pa.array(digest.view(np.int64)), pa.array(ids[row]), pa.array(place), pa.array((end - start).astype(np.int32))], names=["digest", "doc_id", "place", "size"])
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    return rows.mapInArrow(cut, "digest bigint, doc_id bigint, start bigint, size int")
+    return _named(docs).mapInArrow(cut, "digest bigint, doc_id bigint, place bigint, size int")
 
 
-def repeated_passages(docs: DataFrame, average: int = AVERAGE, least: int = LEAST) -> DataFrame:
+def _named(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null and text is not null")
+
+
+def common(mine: bytes, theirs: bytes, start: int, end: int) -> tuple[int, int]:
+    """The longest text around ``mine[start:end]`` that ``theirs`` holds too: the whole run, or else one of its pieces, drawn out to both sides."""
+    best = (start, start)
+    pieces = [(start, end)] if mine[start:end] in theirs else [(k, min(end, k + 24)) for k in range(start, end, 24)]
+    x = np.frombuffer(mine, dtype=np.uint8)
+    y = np.frombuffer(theirs, dtype=np.uint8)
+    for a, b in pieces:
+        if b - a < 16 or best[0] <= a and b <= best[1]:
+            continue
+        at = theirs.find(mine[a:b])
+        while at >= 0:
+            n = min(a, at)
+            off = np.flatnonzero(x[a - n : a][::-1] != y[at - n : at][::-1])
+            left = int(off[0]) if len(off) else n
+            n = min(len(x) - b, len(y) - at - (b - a))
+            off = np.flatnonzero(x[b : b + n] != y[at + b - a : at + b - a + n])
+            right = int(off[0]) if len(off) else n
+            if b + right - a + left > best[1] - best[0]:
+                best = (a - left, b + right)
+            at = theirs.find(mine[a:b], at + right + 1)
+    return best
+
+
+def _drawn_out(runs: DataFrame, docs: DataFrame, min_words: int) -> DataFrame:
+    """Runs (doc_id, run, byte_start, byte_end, other) -> doc_id, run, and the longest text in common with one of the others, if it has ``min_words`` words."""
+    texts = _named(docs).dropDuplicates(["doc_id"])
+    mine = texts.select("doc_id", F.col("text").alias("mine")).join(runs.select("doc_id").distinct(), "doc_id", "left_semi")
+    theirs = texts.select(F.col("doc_id").alias("other"), F.col("text").alias("theirs")).join(runs.select("other").distinct(), "other", "left_semi")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for doc_id, run, start, end, a, b in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "run", "byte_start", "byte_end", "mine", "theirs"))):
+                raw = a.encode("utf-8", "surrogatepass")
+                s, e = common(raw, b.encode("utf-8", "surrogatepass"), start, end)
+                n = max(len(raw[s:e].split()), (e - s) // BYTES_A_WORD)
+                if n >= min_words:
+                    rows.append((doc_id, run, s, e, n))
+            columns = list(zip(*rows)) if rows else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "run", "s", "e", "n"])
+
+    pairs = runs.join(mine, "doc_id").join(theirs, "other").select("doc_id", "run", "byte_start", "byte_end", "mine", "theirs")
+    found = pairs.mapInArrow(compare, "doc_id bigint, run bigint, s bigint, e bigint, n bigint")
+    return found.groupBy("doc_id", "run").agg(F.max(F.struct("n", F.negative("s").alias("s"), "e")).alias("x")).select("doc_id", "run", (-F.col("x.s")).alias("s"), "x.e", "x.n")
+
+
+def repeated_passages(docs: DataFrame, average: int = AVERAGE, least: int = LEAST, min_words: int = MIN_WORDS) -> DataFrame:
     """One row per repeated passage of each document."""
     every = chunked(docs, average)
-    held = every.groupBy("digest").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last_doc_id"))
-    held = held.where("first_doc_id <> last_doc_id").select("digest", "first_doc_id")
-    hits = materialize(every.join(held, "digest").select("doc_id", "start", "size", "first_doc_id"), "chunks")
+    held = every.groupBy("digest").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last_doc_id")).where("first_doc_id <> last_doc_id")
+    hits = every.join(held, "digest").withColumn("start", F.shiftright("place", WORD_BITS)).withColumn("words", F.col("place").bitwiseAND((1 << WORD_BITS) - 1))
     # rows that repeat a doc_id repeat its chunks: a run goes on while chunks begin no later than the last one ended
     order = Window.partitionBy("doc_id").orderBy("start", "size")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    runs = hits.withColumn("reached", F.max(F.col("start") + F.col("size")).over(before)).withColumn("new", (F.col("start") != F.lag("start", 1, -1).over(order)).cast("long"))
+    runs = hits.withColumn("reached", F.max(F.col("start") + F.col("size")).over(before)).withColumn("new", F.col("start") != F.lag("start", 1, -1).over(order))
     runs = runs.withColumn("run", F.sum((F.col("start") > F.coalesce("reached", F.lit(-1))).cast("long")).over(order))
-    found = runs.groupBy("doc_id", "run").agg(
-        F.min("start").alias("byte_start"), F.max(F.col("start") + F.col("size")).alias("byte_end"), F.sum("new").alias("n_chunks"), F.mode("first_doc_id", True).alias("first_doc_id"))
-    found = found.where(F.col("byte_end") - F.col("byte_start") >= least)
-    return found.select("doc_id", "byte_start", "byte_end", "n_chunks", "first_doc_id", (F.col("first_doc_id") != F.col("doc_id")).alias("duplicate"))
+    other = F.when(F.col("first_doc_id") != F.col("doc_id"), F.col("first_doc_id")).otherwise(F.col("last_doc_id"))
+    runs = runs.groupBy("doc_id", "run").agg(
+        F.min("start").alias("byte_start"), F.max(F.col("start") + F.col("size")).alias("byte_end"), F.sum(F.when(F.col("new"), F.col("words"))).alias("n_words"), F.mode("first_doc_id", True).alias("first_doc_id"), F.collect_set(other).alias("others"))
+    size = F.col("byte_end") - F.col("byte_start")
+    runs = materialize(runs.where(size >= least).withColumn("n_words", F.greatest("n_words", F.floor(size / BYTES_A_WORD))), "chunks")
+    long = runs.where(F.col("n_words") >= min_words).drop("others")
+    short = runs.where(F.col("n_words") < min_words)
+    drawn = _drawn_out(short.select("doc_id", "run", "byte_start", "byte_end", F.explode("others").alias("other")), docs, min_words)
+    short = short.select("doc_id", "run", "first_doc_id").join(drawn, ["doc_id", "run"]).select("doc_id", "run", F.col("s").alias("byte_start"), F.col("e").alias("byte_end"), F.col("n").alias("n_words"), "first_doc_id")
+    found = long.unionByName(short).select("doc_id", "byte_start", "byte_end", "n_words", "first_doc_id", (F.col("first_doc_id") != F.col("doc_id")).alias("duplicate"))
+    # neighbouring runs of one passage are drawn out to the same text
+    return found.dropDuplicates(["doc_id", "byte_start", "byte_end"])

@@ -30,9 +30,12 @@ def test_chunks_cover_every_row_and_survive_insertions(monkeypatch):
     texts = [body, "", text(r, 3) + " " + body, "x"]
     data, offsets = H.buffers(pa.array(texts))
     parts = {k: [] for k in range(4)}
-    for row, start, end, digest in S.chunks(data, offsets):
-        for k, a, b, d in zip(row, start, end, digest):
+    n_words = {k: 0 for k in range(4)}
+    for row, start, end, words, digest in S.chunks(data, offsets):
+        for k, a, b, w, d in zip(row, start, end, words, digest):
             parts[int(k)].append((int(a), int(b), int(d)))
+            n_words[int(k)] += int(w)
+    assert n_words == {k: len(t.split()) for k, t in enumerate(texts)}
     for k, t in enumerate(texts):
         edges = [a for a, _, _ in parts[k]] + [len(t.encode())]
         assert edges[0] == 0 and [b for _, b, _ in parts[k]] == edges[1:] if t else parts[k] == []
@@ -58,3 +61,21 @@ def test_finds_passages_and_leaves_clean_rows(spark):
 def test_repeats_inside_one_document_do_not_count(spark):
     t = text(random.Random(4), 80)
     assert S.repeated_passages(spark.createDataFrame([(1, t + " " + t), (2, "other")], "doc_id bigint, text string")).count() == 0
+
+
+def test_short_runs_are_decided_byte_by_byte(spark):
+    r = random.Random(9)
+    half, whole = text(r, 42), text(r, 51)
+    rows = [(k, f"{text(r, 40)} {half if k < 10 else whole} {text(r, 40)}") for k in range(40)]
+    got = S.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {g.doc_id for g in got} == set(range(10, 40))
+    texts = dict(rows)
+    for g in got:
+        assert g.n_words < 50 or whole[5:-5] in texts[g.doc_id].encode()[g.byte_start : g.byte_end].decode() or g.n_words >= 50
+
+
+def test_common_text():
+    a, b = b"xx the quick brown fox jumps over it yy", b"zz the quick brown fox jumps over it ww"
+    s, e = S.common(a, b, 10, 30)
+    assert a[s:e] == b" the quick brown fox jumps over it "
+    assert S.common(a, b"none of that", 10, 30) == (10, 10)
