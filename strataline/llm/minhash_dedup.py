@@ -34,13 +34,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _hashing as H
+from ._filter import only
 from ..store import materialize
 from .components import connected_components, roots
 
 K, BITS = 128, 4
 LONGS = K * BITS // 64
-#: Ids in a broadcast filter at most; beyond it the filter is a shuffled join.
-BROADCAST_IDS = 1_000_000
 _MULTIPLIERS = (H.stream64(K, 21) >> H.U64(32)).astype(np.uint32) | np.uint32(1)
 _SALT = H.stream64(K, 22)
 
@@ -139,18 +138,11 @@ def least_estimate(threshold: float) -> float:
     return threshold - 4.5 * (p * (1 - p) / K) ** 0.5 / (1 - chance)
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Documents of the given ids, broadcasting the ids only while few."""
-    ids = ids.distinct()
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-
-
 def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    left = _only(texts, pairs.select(F.col("a").alias("doc_id"))).select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
-    right = _only(texts, pairs.select(F.col("b").alias("doc_id"))).select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
+    left = only(texts, pairs.select(F.col("a").alias("doc_id"))).select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
+    right = only(texts, pairs.select(F.col("b").alias("doc_id"))).select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -221,7 +213,7 @@ def _linked_in_clusters(rows: DataFrame, docs: DataFrame, width: int, percent: i
     sizes = rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("total")).where("m > 1")
     sizes = sizes.select("cluster", F.ceil(F.greatest(F.col("m") / BLOCK, F.col("total") / BLOCK_SHINGLES)).alias("blocks"))
     dealt = materialize(rows.join(sizes, "cluster").select("rep", "cluster", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("block")), "minhash")
-    texts = _only(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), dealt.select(F.col("rep").alias("doc_id")))
+    texts = only(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), dealt.select(F.col("rep").alias("doc_id")))
     dealt = dealt.join(texts.withColumnRenamed("doc_id", "rep"), "rep")
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
     dealt = dealt.select("cluster", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "block", "rep", "text")

@@ -8,8 +8,8 @@ digest stands in two or more documents is repeated; adjacent repeated chunks mak
 A run in which ``min_words`` words begin is a passage (16 bytes count as a word at least, for
 text without white space). Cuts are found only inside a
 passage, so at either end about a chunk of it is not in its run: shorter runs of at least
-``LEAST`` bytes are compared, byte by byte, with the documents that their chunks stand in
-first and last, and are passages if what both texts hold there has ``min_words`` words. A
+``LEAST`` bytes are compared, byte by byte, with the documents that their chunks (of 16 bytes
+or more, if there are any) stand in first and last, and are passages if what both texts hold there has ``min_words`` words. A
 passage of n bytes has a shorter run than that less than once in 1,500 times at n = 313
 (51 words), and less for longer ones.
 
@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _hashing as H
+from ._filter import only
 from ..store import materialize
 
 AVERAGE = 24
@@ -40,6 +41,7 @@ WINDOW = 16
 LEAST = 64
 MIN_WORDS = 50
 BYTES_A_WORD = 16  # at most: text without white space has words too
+TELLING = 16  # bytes of a chunk that says where a run comes from; shorter ones stand anywhere
 WORD_BITS = 24  # of a chunk's place, for the words that begin in it
 _GEAR = (H.stream64(256, 31) >> H.U64(48)).astype(np.uint16)
 
@@ -131,26 +133,53 @@ def common(mine: bytes, theirs: bytes, start: int, end: int) -> tuple[int, int]:
     return best
 
 
+def around(text: bytes, start: int, end: int, words: int) -> tuple[int, int]:
+    """The run and as much to both sides as ``words`` words can take."""
+    reach = BYTES_A_WORD * words
+    left, right = text[max(0, start - reach) : start], text[end : end + reach]
+    before, after = left.rsplit(None, words), right.split(None, words)
+    if len(before) > words:
+        left = left[len(before[0]) :]
+    if len(after) > words:
+        right = right[: len(right) - len(after[-1])]
+    return start - len(left), end + len(right)
+
+
 def _drawn_out(runs: DataFrame, docs: DataFrame, min_words: int) -> DataFrame:
-    """Runs (doc_id, run, byte_start, byte_end, other) -> doc_id, run, and the longest text in common with one of the others, if it has ``min_words`` words."""
-    texts = _named(docs).dropDuplicates(["doc_id"])
-    mine = texts.select("doc_id", F.col("text").alias("mine")).join(runs.select("doc_id").distinct(), "doc_id", "left_semi")
-    theirs = texts.select(F.col("doc_id").alias("other"), F.col("text").alias("theirs")).join(runs.select("other").distinct(), "other", "left_semi")
+    """Runs (doc_id, run, byte_start, byte_end, others) -> doc_id, run, and the longest text in common with one of the others, if it has ``min_words`` words.
+
+    Of a run's document only the run and ``min_words`` words to both sides go on, which is enough to tell.
+    """
+    mine = only(_named(docs), runs.select("doc_id"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, pieces = [], []
+            for start, end, text in zip(*(batch.column(c).to_pylist() for c in ("byte_start", "byte_end", "text"))):
+                raw = text.encode("utf-8", "surrogatepass")
+                a, b = around(raw, start, end, min_words)
+                at.append(a)
+                pieces.append(raw[a:b])
+            kept = [batch.column(c) for c in ("doc_id", "run", "byte_start", "byte_end", "others")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(at, pa.int64()), pa.array(pieces, pa.binary())], names=["doc_id", "run", "byte_start", "byte_end", "others", "at", "piece"])
+
+    rows = runs.join(mine, "doc_id").select("doc_id", "run", "byte_start", "byte_end", "others", "text").mapInArrow(
+        cut, "doc_id bigint, run bigint, byte_start bigint, byte_end bigint, others array<bigint>, at bigint, piece binary")
+    rows = rows.select("doc_id", "run", "byte_start", "byte_end", "at", "piece", F.explode("others").alias("other"))
+    theirs = only(_named(docs), runs.select(F.explode("others").alias("doc_id"))).select(F.col("doc_id").alias("other"), F.col("text").alias("theirs"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for doc_id, run, start, end, a, b in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "run", "byte_start", "byte_end", "mine", "theirs"))):
-                raw = a.encode("utf-8", "surrogatepass")
-                s, e = common(raw, b.encode("utf-8", "surrogatepass"), start, end)
-                n = max(len(raw[s:e].split()), (e - s) // BYTES_A_WORD)
+            found = []
+            for doc_id, run, start, end, at, piece, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "run", "byte_start", "byte_end", "at", "piece", "theirs"))):
+                s, e = common(piece, text.encode("utf-8", "surrogatepass"), start - at, end - at)
+                n = max(len(piece[s:e].split()), (e - s) // BYTES_A_WORD)
                 if n >= min_words:
-                    rows.append((doc_id, run, s, e, n))
-            columns = list(zip(*rows)) if rows else [[]] * 5
+                    found.append((doc_id, run, s + at, e + at, n))
+            columns = list(zip(*found)) if found else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "run", "s", "e", "n"])
 
-    pairs = runs.join(mine, "doc_id").join(theirs, "other").select("doc_id", "run", "byte_start", "byte_end", "mine", "theirs")
-    found = pairs.mapInArrow(compare, "doc_id bigint, run bigint, s bigint, e bigint, n bigint")
+    found = rows.join(theirs, "other").select("doc_id", "run", "byte_start", "byte_end", "at", "piece", "theirs").mapInArrow(compare, "doc_id bigint, run bigint, s bigint, e bigint, n bigint")
     return found.groupBy("doc_id", "run").agg(F.max(F.struct("n", F.negative("s").alias("s"), "e")).alias("x")).select("doc_id", "run", (-F.col("x.s")).alias("s"), "x.e", "x.n")
 
 
@@ -166,12 +195,14 @@ def repeated_passages(docs: DataFrame, average: int = AVERAGE, least: int = LEAS
     runs = runs.withColumn("run", F.sum((F.col("start") > F.coalesce("reached", F.lit(-1))).cast("long")).over(order))
     other = F.when(F.col("first_doc_id") != F.col("doc_id"), F.col("first_doc_id")).otherwise(F.col("last_doc_id"))
     runs = runs.groupBy("doc_id", "run").agg(
-        F.min("start").alias("byte_start"), F.max(F.col("start") + F.col("size")).alias("byte_end"), F.sum(F.when(F.col("new"), F.col("words"))).alias("n_words"), F.mode("first_doc_id", True).alias("first_doc_id"), F.collect_set(other).alias("others"))
+        F.min("start").alias("byte_start"), F.max(F.col("start") + F.col("size")).alias("byte_end"), F.sum(F.when(F.col("new"), F.col("words"))).alias("n_words"), F.mode("first_doc_id", True).alias("first_doc_id"),
+        F.collect_set(F.when(F.col("size") >= TELLING, other)).alias("telling"), F.mode(other, True).alias("usual"))
+    runs = runs.withColumn("others", F.when(F.size("telling") > 0, F.col("telling")).otherwise(F.array("usual"))).drop("telling", "usual")
     size = F.col("byte_end") - F.col("byte_start")
     runs = materialize(runs.where(size >= least).withColumn("n_words", F.greatest("n_words", F.floor(size / BYTES_A_WORD))), "chunks")
     long = runs.where(F.col("n_words") >= min_words).drop("others")
     short = runs.where(F.col("n_words") < min_words)
-    drawn = _drawn_out(short.select("doc_id", "run", "byte_start", "byte_end", F.explode("others").alias("other")), docs, min_words)
+    drawn = _drawn_out(short.select("doc_id", "run", "byte_start", "byte_end", "others"), docs, min_words)
     short = short.select("doc_id", "run", "first_doc_id").join(drawn, ["doc_id", "run"]).select("doc_id", "run", F.col("s").alias("byte_start"), F.col("e").alias("byte_end"), F.col("n").alias("n_words"), "first_doc_id")
     found = long.unionByName(short).select("doc_id", "byte_start", "byte_end", "n_words", "first_doc_id", (F.col("first_doc_id") != F.col("doc_id")).alias("duplicate"))
     # neighbouring runs of one passage are drawn out to the same text
