@@ -145,6 +145,11 @@ def around(text: bytes, start: int, end: int, words: int) -> tuple[int, int]:
     return start - len(left), end + len(right)
 
 
+def _rows(batch: pa.RecordBatch, *columns: str) -> Iterator[tuple]:
+    """A batch's rows one by one, so that its texts are not all held as objects."""
+    return (tuple(x.as_py() for x in row) for row in zip(*(batch.column(c) for c in columns)))
+
+
 def _drawn_out(runs: DataFrame, docs: DataFrame, min_words: int) -> DataFrame:
     """Runs (doc_id, run, byte_start, byte_end, others) -> doc_id, run, and the longest text in common with one of the others, if it has ``min_words`` words.
 
@@ -155,7 +160,7 @@ def _drawn_out(runs: DataFrame, docs: DataFrame, min_words: int) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, pieces = [], []
-            for start, end, text in zip(*(batch.column(c).to_pylist() for c in ("byte_start", "byte_end", "text"))):
+            for start, end, text in _rows(batch, "byte_start", "byte_end", "text"):
                 raw = text.encode("utf-8", "surrogatepass")
                 a, b = around(raw, start, end, min_words)
                 at.append(a)
@@ -171,7 +176,7 @@ def _drawn_out(runs: DataFrame, docs: DataFrame, min_words: int) -> DataFrame:
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            for doc_id, run, start, end, at, piece, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "run", "byte_start", "byte_end", "at", "piece", "theirs"))):
+            for doc_id, run, start, end, at, piece, text in _rows(batch, "doc_id", "run", "byte_start", "byte_end", "at", "piece", "theirs"):
                 s, e = common(piece, text.encode("utf-8", "surrogatepass"), start - at, end - at)
                 n = max(len(piece[s:e].split()), (e - s) // BYTES_A_WORD)
                 if n >= min_words:
