@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _hashing as H
+from ._batches import small_batches
 from ._filter import only
 from ..store import materialize
 
@@ -204,10 +205,12 @@ def repeated_passages(docs: DataFrame, average: int = AVERAGE, least: int = LEAS
         F.collect_set(F.when(F.col("size") >= TELLING, other)).alias("telling"), F.mode(other, True).alias("usual"))
     runs = runs.withColumn("others", F.when(F.size("telling") > 0, F.col("telling")).otherwise(F.array("usual"))).drop("telling", "usual")
     size = F.col("byte_end") - F.col("byte_start")
-    runs = materialize(runs.where(size >= least).withColumn("n_words", F.greatest("n_words", F.floor(size / BYTES_A_WORD))), "chunks")
+    with small_batches(docs.sparkSession):
+        runs = materialize(runs.where(size >= least).withColumn("n_words", F.greatest("n_words", F.floor(size / BYTES_A_WORD))), "chunks")
     long = runs.where(F.col("n_words") >= min_words).drop("others")
     short = runs.where(F.col("n_words") < min_words)
-    drawn = _drawn_out(short.select("doc_id", "run", "byte_start", "byte_end", "others"), docs, min_words)
+    with small_batches(docs.sparkSession, 500):
+        drawn = materialize(_drawn_out(short.select("doc_id", "run", "byte_start", "byte_end", "others"), docs, min_words), "chunks")
     short = short.select("doc_id", "run", "first_doc_id").join(drawn, ["doc_id", "run"]).select("doc_id", "run", F.col("s").alias("byte_start"), F.col("e").alias("byte_end"), F.col("n").alias("n_words"), "first_doc_id")
     found = long.unionByName(short).select("doc_id", "byte_start", "byte_end", "n_words", "first_doc_id", (F.col("first_doc_id") != F.col("doc_id")).alias("duplicate"))
     # neighbouring runs of one passage are drawn out to the same text
