@@ -1,6 +1,6 @@
 """Discovery of external integrations from configuration, package and code signals.
 
-Signals are matched to rules as DataFrame expressions; what matches goes, grouped by
+Signals are matched to rules as DataFrame expressions; what matches goes, together by
 snapshot and detector, through ``route``: evidence moves a candidate's technology and so
 where later evidence goes, which no built-in operator expresses. A group is the matching
 signals of one repository for one detector.
@@ -9,7 +9,7 @@ signals of one repository for one detector.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 from urllib.parse import urlsplit
@@ -617,13 +617,26 @@ def detect(signals: DataFrame, kinds: Iterable[str] | None = None) -> DataFrame:
     tagged = F.filter(F.array(*(F.when(relevant(d), F.lit(k)) for k, d in chosen.items())), lambda x: x.isNotNull())
     rows = signals.select(*SIGNAL_COLUMNS).withColumn("detector", F.explode(tagged)).withColumn("order", F.array_position(F.array(*map(F.lit, PHASES)), F.col("phase")))
 
-    def solve(group: pa.Table) -> pa.Table:
-        found = group.to_pylist()
+    def solved(found: list[dict]) -> list[dict]:
         found.sort(key=lambda s: (s["order"], *(v if v is not None else "" for v in (s["position"]["a"], s["position"]["b"])), s["position"]["c"] or 0))
-        candidates = route(chosen[found[0]["detector"]], found)
-        return pa.Table.from_pylist([{"snapshot_id": found[0]["snapshot_id"]} | c.row() for c in candidates], schema=_ROW)
-
-    return rows.groupBy("snapshot_id", "detector").applyInArrow(solve, CANDIDATE_SCHEMA)
+        return [{"snapshot_id": found[0]["snapshot_id"]} | c.row() for c in route(chosen[found[0]["detector"]], found)]
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []  # the signals of one repository and detector
+        for batch in batches:
+            out: list[dict] = []
+            for row in batch.to_pylist():
+                if held and (row["snapshot_id"], row["detector"]) != (held[0]["snapshot_id"], held[0]["detector"]):
+                    out += solved(held)
+                    held = []
+                held.append(row)
+            yield pa.RecordBatch.from_pylist(out, schema=_ROW)
+        if held:
+            yield pa.RecordBatch.from_pylist(solved(held), schema=_ROW)
+
+    # groups are small and many: sorted runs of a partition cost less than a call for each group
+    grouped = rows.repartition("snapshot_id", "detector").sortWithinPartitions("snapshot_id", "detector")
+    return grouped.mapInArrow(solve, CANDIDATE_SCHEMA)
 
 
 def in_profile(candidates: DataFrame, name: str | None = "work") -> DataFrame:
