@@ -1,26 +1,28 @@
 """Repeated passages by content-defined chunking.
 
-A gear hash over the last 16 bytes of a text decides where chunks end, so the cuts
-depend on content alone: text inserted before a passage moves its chunks but does not
-change them. Chunks (24 bytes on average) are compared by 64-bit digest. A chunk whose
-digest stands in two or more documents is repeated; adjacent repeated chunks make a run.
-
-A run in which ``min_words`` words begin is a passage (16 bytes count as a word at least, for
-text without white space). Cuts are found only inside a
-passage, so at either end about a chunk of it is not in its run: shorter runs of at least
-``LEAST`` bytes are compared, byte by byte, with the documents that their chunks (of 16 bytes
-or more, if there are any) stand in first and last, and are passages if what both texts hold there has ``min_words`` words. A
-passage of n bytes has a shorter run than that less than once in 1,500 times at n = 313
-(51 words), and less for longer ones.
-
-Digests are aggregated (first and last document) before the shuffle; a digest that is
-everywhere costs one row a task. The join back is on the digest and may be split.
+Where chunks end depends on content alone, so text inserted before a passage moves its
+chunks but does not change them: a gear hash over the 16 bytes from each unit on (a word, or
+in text without white space a content-defined piece of it) is taken, and a cut is made at the
+least hash of any ``SPAN`` units in a row. Chunks (4 words on average) are compared by 64-bit
+digest. A chunk whose digest stands in two or more documents is repeated; adjacent repeated
+chunks make a run.
+
+Because every ``SPAN`` units hold a cut, the units of a passage of ``min_words`` words that
+both copies cut alike make a run of at least ``shortest_run`` units in each of them,
+whatever stands around: no passage is without a run. Which of the texts around the runs are
+passages is decided by the exact bytes: each window of ``min_words`` words (or 16 bytes for
+each of them, if that is less) that could have made the run is hashed, and is repeated if two
+documents hold it. Adjacent repeated windows make a passage. No list of partners is made or
+cut short, and adjacent repeats from different documents are not taken for one.
+
+Digests of chunks and of windows are aggregated (first and last document) before the shuffle; a
+digest that is everywhere costs one row a task. The joins back are on the digest and may be split.
 
 Result rows: doc_id, byte_start, byte_end (of the UTF-8 text), n_words, first_doc_id
-(where most of the passage's chunks stand first; ties: the least) and duplicate (it is not
+(where most of the passage's windows stand first; ties: the least) and duplicate (it is not
 this one, so this copy can go). Documents without a repeated passage have no row. Repeats
-inside one document do not count. Null and empty texts, rows with a null doc_id and
-empty tables give no rows; rows that repeat a doc_id count as one document.
+inside one document do not count. Words are whole ones. Null and empty texts, rows with a null
+doc_id and empty tables give no rows; rows that repeat a doc_id count as one document.
 """
 
 from __future__ import annotations
@@ -37,13 +39,12 @@ from ._batches import small_batches
 from ._filter import only
 from ..store import materialize
 
-AVERAGE = 24
 WINDOW = 16
-LEAST = 64
+SPAN = 7  # units, of which the least hash makes a cut
 MIN_WORDS = 50
 BYTES_A_WORD = 16  # at most: text without white space has words too
-TELLING = 16  # bytes of a chunk that says where a run comes from; shorter ones stand anywhere
-WORD_BITS = 24  # of a chunk's place, for the words that begin in it
+PIECE_BYTES = 8  # on average, of text without white space
+UNIT_BITS = 24  # of a chunk's place, for the units that begin in it
 _GEAR = (H.stream64(256, 31) >> H.U64(48)).astype(np.uint16)
 
 
@@ -57,24 +58,59 @@ def gear(data: np.ndarray) -> np.ndarray:
     return h
 
 
-def chunks(data: np.ndarray, offsets: np.ndarray, average: int = AVERAGE) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(row, start, end, words that begin in it, digest) of each chunk in groups; positions from the row's start."""
-    line = np.uint16((1 << 16) // average)
+def _space_before(data: np.ndarray) -> np.ndarray:
+    """How many bytes of white space stand before each position."""
+    return np.append(0, np.cumsum(H.SPACE[data], dtype=np.int64))
+
+
+def units(data: np.ndarray, rows: np.ndarray, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, gear hash of the 16 bytes from there on, whether a word begins there) of the units of the rows that begin at ``rows``; the last one ends at ``hi``."""
+    found = []
+    lo = int(rows[0])
+    ends = np.append(rows[1:], hi)
+    for a in range(lo, hi, H.PIECE):
+        b = min(hi, a + H.PIECE)
+        back, ahead = max(lo, a - WINDOW), min(hi, b + WINDOW)
+        h = gear(data[back:ahead])
+        space = _space_before(data[back:b])
+        p = np.flatnonzero(~H.SPACE[data[a:b]]) + a
+        row = np.searchsorted(rows, p, side="right") - 1
+        word = (p == rows[row]) | H.SPACE[data[np.maximum(p - 1, 0)]]
+        # 16 bytes without white space before it, all of them the row's
+        far = p - rows[row] >= WINDOW
+        inner = far & ~word
+        inner[far] &= space[p[far] - back] == space[p[far] - WINDOW - back]
+        inner[inner] = h[p[inner] - 1 - back] < np.uint16((1 << 16) // PIECE_BYTES)
+        keep = word | inner
+        p, row, word = p[keep], row[keep], word[keep]
+        found.append((p, h[np.minimum(p + WINDOW, ends[row]) - 1 - back], word))
+    start, value, word = (np.concatenate(x) for x in zip(*found))
+    return start, value, word
+
+
+def cuts(start: np.ndarray, value: np.ndarray, row: np.ndarray, span: int) -> np.ndarray:
+    """Which units are the least of some ``span`` units of a row (ties: the last)."""
+    n = len(start)
+    if n < span:
+        return np.zeros(0, dtype=np.int64)
+    key = (value.astype(np.int64) << 32) + np.arange(n - 1, -1, -1)
+    least = key[: n - span + 1].copy()
+    for k in range(1, span):
+        np.minimum(least, key[k : n - span + 1 + k], out=least)
+    least = least[row[: n - span + 1] == row[span - 1 :]]
+    return np.unique(n - 1 - (least & 0xFFFFFFFF))
+
+
+def _cut_up(data: np.ndarray, offsets: np.ndarray, span: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, start, end, words that begin in it, units, digest) of each chunk in groups; positions from the row's start."""
     for first, last in H.groups(offsets):
         lo, hi = int(offsets[first]), int(offsets[last])
         if hi == lo:
             continue
         starts = offsets[first : last + 1]
         rows = starts[:-1][np.diff(starts) > 0]
-        ends = []
-        for a in range(lo, hi, H.PIECE):
-            b = min(hi, a + H.PIECE)
-            back = max(lo, a - WINDOW + 1)
-            ends.append(np.flatnonzero(gear(data[back:b])[a - back :] < line) + a + 1)
-        cut = np.concatenate(ends)
-        # a hash that reaches back into the row before is none of this row's: such cuts go
-        row_of_cut = rows[np.searchsorted(rows, cut - 1, side="right") - 1]
-        cut = cut[cut - row_of_cut >= WINDOW]
+        unit, value, word = units(data, rows, hi)
+        cut = unit[cuts(unit, value, np.searchsorted(rows, unit, side="right"), span)]
         edges = np.unique(np.concatenate((cut, rows, [hi])))
         start, end = edges[:-1], edges[1:]
         digest = np.empty(len(start), dtype=H.U64)
@@ -85,23 +121,25 @@ def chunks(data: np.ndarray, offsets: np.ndarray, average: int = AVERAGE) -> Ite
             digest[at:to] = H.Prefix(data[base : int(end[to - 1])], H.EXACT).ranges(start[at:to] - base, end[at:to] - base)
             at = to
         row = np.searchsorted(offsets, start, side="right") - 1
-        text = ~H.SPACE[data[lo:hi]]
-        begins = text.copy()
-        begins[1:] &= ~text[:-1]
-        begins[rows - lo] = text[rows - lo]
-        words = np.append(0, np.cumsum(begins, dtype=np.int64))
-        yield row, start - offsets[row], end - offsets[row], words[end - lo] - words[start - lo], digest
+        words = unit[word]
+        yield row, start - offsets[row], end - offsets[row], np.searchsorted(words, end) - np.searchsorted(words, start), np.searchsorted(unit, end) - np.searchsorted(unit, start), digest
+
+
+def chunks(data: np.ndarray, offsets: np.ndarray, span: int = SPAN) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, start, end, words that begin in it, digest) of each chunk in groups; positions from the row's start."""
+    for row, start, end, words, _, digest in _cut_up(data, offsets, span):
+        yield row, start, end, words, digest
 
 
-def chunked(docs: DataFrame, average: int = AVERAGE) -> DataFrame:
-    """(digest, doc_id, place, size) of each chunk; place is its start, then the number of its words."""
+def chunked(docs: DataFrame, span: int = SPAN) -> DataFrame:
+    """(digest, doc_id, place, size) of each chunk; place is its start, then the number of its units."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = H.buffers(batch.column("text"))
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            for row, start, end, words, digest in chunks(data, offsets, average):
-                place = (start.astype(np.int64) << WORD_BITS) + np.minimum(words, (1 << WORD_BITS) - 1)
+            for row, start, end, _, n, digest in _cut_up(data, offsets, span):
+                place = (start.astype(np.int64) << UNIT_BITS) + np.minimum(n, (1 << UNIT_BITS) - 1)
                 yield pa.RecordBatch.from_arrays([pa.array(digest.view(np.int64)), pa.array(ids[row]), pa.array(place), pa.array((end - start).astype(np.int32))], names=["digest", "doc_id", "place", "size"])
 
     return _named(docs).mapInArrow(cut, "digest bigint, doc_id bigint, place bigint, size int")
@@ -134,16 +172,59 @@ def common(mine: bytes, theirs: bytes, start: int, end: int) -> tuple[int, int]:
     return best
 
 
-def around(text: bytes, start: int, end: int, words: int) -> tuple[int, int]:
-    """The run and as much to both sides as ``words`` words can take."""
-    reach = BYTES_A_WORD * words
-    left, right = text[max(0, start - reach) : start], text[end : end + reach]
-    before, after = left.rsplit(None, words), right.split(None, words)
-    if len(before) > words:
-        left = left[len(before[0]) :]
-    if len(after) > words:
-        right = right[: len(right) - len(after[-1])]
-    return start - len(left), end + len(right)
+def known(min_words: int) -> int:
+    """Of a passage's units, those whose hash is of its own bytes: words and what parts them take two bytes at least, so at most 8 words begin in the last 15 bytes."""
+    return min_words - WINDOW // 2
+
+
+def shortest_run(span: int, min_words: int) -> int:
+    """Units between the first and the last cut that a passage must have: both copies decide units ``span - 1`` to ``known - span`` alike, and every ``span`` of them hold a cut."""
+    return max(1, known(min_words) - 4 * span + 3)
+
+
+def windows(text: bytes, runs: list[tuple[int, int]], span: int, min_words: int) -> tuple[np.ndarray, ...]:
+    """(start, end, number of the first word, words, digest) of each window of a text that could have made one of the runs (start, end)."""
+    none = np.zeros(0, dtype=np.int64)
+    data = np.frombuffer(text, dtype=np.uint8)
+    if not len(data):
+        return none, none, none, none, none.view(H.U64)
+    start, _, word = units(data, np.zeros(1, dtype=np.int64), len(data))
+    chosen = np.zeros(len(start) + 1, dtype=np.int64)
+    for a, b in runs:
+        # no cut before the run, and none after it, is among those that both copies share
+        i, j = np.searchsorted(start, (a, b))
+        i, j = max(0, int(i) - 2 * span + 2), int(j) + 2 * span - known(min_words) - 1
+        if j >= i:
+            chosen[i] += 1
+            chosen[min(j + 1, len(start))] -= 1
+    begin = start[np.cumsum(chosen[:-1]) > 0]
+    space = np.append(H.SPACE[data], True)
+    ends = np.flatnonzero(~space[:-1] & space[1:]) + 1  # of words
+    words = start[word]
+    nth = np.searchsorted(words, begin)
+    far = np.append(ends, [len(data) + 1] * min_words)[nth + min_words - 1]
+    stops = np.append(np.unique(np.concatenate((start, ends))), len(data) + 1)
+    end = np.minimum(far, stops[np.searchsorted(stops, np.minimum(begin + BYTES_A_WORD * min_words, len(data) + 1))])
+    whole = end <= len(data)
+    begin, end, nth = begin[whole], end[whole], nth[whole]
+    return begin, end, nth, np.searchsorted(words, end) - nth, H.Prefix(data, H.EXACT).ranges(begin, end)
+
+
+def _windows(runs: DataFrame, docs: DataFrame, span: int, min_words: int) -> DataFrame:
+    """Runs (doc_id, byte_start, byte_end) -> (digest, doc_id, place, words) of the windows around them; place is start and size, words is the number of the first and how many."""
+    runs = runs.groupBy("doc_id").agg(F.collect_list("byte_start").alias("starts"), F.collect_list("byte_end").alias("ends"))
+    texts = only(_named(docs), runs.select("doc_id"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = []
+            for doc_id, text, starts, ends in _rows(batch, "doc_id", "text", "starts", "ends"):
+                begin, end, nth, n, digest = windows(text.encode("utf-8", "surrogatepass"), list(zip(starts, ends)), span, min_words)
+                parts.append((digest.view(np.int64), np.full(len(begin), doc_id, dtype=np.int64), (begin << 32) + end - begin, (nth << 32) + n))
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts)], names=["digest", "doc_id", "place", "words"])
+
+    return runs.join(texts, "doc_id").select("doc_id", "text", "starts", "ends").mapInArrow(cut, "digest bigint, doc_id bigint, place bigint, words bigint")
 
 
 def _rows(batch: pa.RecordBatch, *columns: str) -> Iterator[tuple]:
@@ -151,67 +232,33 @@ def _rows(batch: pa.RecordBatch, *columns: str) -> Iterator[tuple]:
     return (tuple(x.as_py() for x in row) for row in zip(*(batch.column(c) for c in columns)))
 
 
-def _drawn_out(runs: DataFrame, docs: DataFrame, min_words: int) -> DataFrame:
-    """Runs (doc_id, run, byte_start, byte_end, others) -> doc_id, run, and the longest text in common with one of the others, if it has ``min_words`` words.
+def _repeated(pieces: DataFrame) -> DataFrame:
+    """The rows whose digest stands in two or more documents, with the first of them."""
+    held = pieces.groupBy("digest").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last_doc_id")).where("first_doc_id <> last_doc_id")
+    return pieces.join(held.drop("last_doc_id"), "digest")
 
-    Of a run's document only the run and ``min_words`` words to both sides go on, which is enough to tell.
-    """
-    mine = only(_named(docs), runs.select("doc_id"))
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, pieces = [], []
-            for start, end, text in _rows(batch, "byte_start", "byte_end", "text"):
-                raw = text.encode("utf-8", "surrogatepass")
-                a, b = around(raw, start, end, min_words)
-                at.append(a)
-                pieces.append(raw[a:b])
-            kept = [batch.column(c) for c in ("doc_id", "run", "byte_start", "byte_end", "others")]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(at, pa.int64()), pa.array(pieces, pa.binary())], names=["doc_id", "run", "byte_start", "byte_end", "others", "at", "piece"])
-
-    rows = runs.join(mine, "doc_id").select("doc_id", "run", "byte_start", "byte_end", "others", "text").mapInArrow(
-        cut, "doc_id bigint, run bigint, byte_start bigint, byte_end bigint, others array<bigint>, at bigint, piece binary")
-    rows = rows.select("doc_id", "run", "byte_start", "byte_end", "at", "piece", F.explode("others").alias("other"))
-    theirs = only(_named(docs), runs.select(F.explode("others").alias("doc_id"))).select(F.col("doc_id").alias("other"), F.col("text").alias("theirs"))
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for doc_id, run, start, end, at, piece, text in _rows(batch, "doc_id", "run", "byte_start", "byte_end", "at", "piece", "theirs"):
-                s, e = common(piece, text.encode("utf-8", "surrogatepass"), start - at, end - at)
-                n = max(len(piece[s:e].split()), (e - s) // BYTES_A_WORD)
-                if n >= min_words:
-                    found.append((doc_id, run, s + at, e + at, n))
-            columns = list(zip(*found)) if found else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "run", "s", "e", "n"])
-
-    found = rows.join(theirs, "other").select("doc_id", "run", "byte_start", "byte_end", "at", "piece", "theirs").mapInArrow(compare, "doc_id bigint, run bigint, s bigint, e bigint, n bigint")
-    return found.groupBy("doc_id", "run").agg(F.max(F.struct("n", F.negative("s").alias("s"), "e")).alias("x")).select("doc_id", "run", (-F.col("x.s")).alias("s"), "x.e", "x.n")
+def _in_runs(rows: DataFrame) -> DataFrame:
+    """Rows (doc_id, start, size) with the number of their run, which goes on while rows begin no later than the last one ended, and whether a row begins where the one before did not."""
+    order = Window.partitionBy("doc_id").orderBy("start", "size")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("reached", F.max(F.col("start") + F.col("size")).over(before)).withColumn("new", F.col("start") != F.lag("start", 1, -1).over(order))
+    return rows.withColumn("run", F.sum((F.col("start") > F.coalesce("reached", F.lit(-1))).cast("long")).over(order))
 
 
-def repeated_passages(docs: DataFrame, average: int = AVERAGE, least: int = LEAST, min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_passages(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS) -> DataFrame:
     """One row per repeated passage of each document."""
-    every = chunked(docs, average)
-    held = every.groupBy("digest").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last_doc_id")).where("first_doc_id <> last_doc_id")
-    hits = every.join(held, "digest").withColumn("start", F.shiftright("place", WORD_BITS)).withColumn("words", F.col("place").bitwiseAND((1 << WORD_BITS) - 1))
-    # rows that repeat a doc_id repeat its chunks: a run goes on while chunks begin no later than the last one ended
-    order = Window.partitionBy("doc_id").orderBy("start", "size")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    runs = hits.withColumn("reached", F.max(F.col("start") + F.col("size")).over(before)).withColumn("new", F.col("start") != F.lag("start", 1, -1).over(order))
-    runs = runs.withColumn("run", F.sum((F.col("start") > F.coalesce("reached", F.lit(-1))).cast("long")).over(order))
-    other = F.when(F.col("first_doc_id") != F.col("doc_id"), F.col("first_doc_id")).otherwise(F.col("last_doc_id"))
-    runs = runs.groupBy("doc_id", "run").agg(
-        F.min("start").alias("byte_start"), F.max(F.col("start") + F.col("size")).alias("byte_end"), F.sum(F.when(F.col("new"), F.col("words"))).alias("n_words"), F.mode("first_doc_id", True).alias("first_doc_id"),
-        F.collect_set(F.when(F.col("size") >= TELLING, other)).alias("telling"), F.mode(other, True).alias("usual"))
-    runs = runs.withColumn("others", F.when(F.size("telling") > 0, F.col("telling")).otherwise(F.array("usual"))).drop("telling", "usual")
-    size = F.col("byte_end") - F.col("byte_start")
+    start, end = F.min("start").alias("byte_start"), F.max(F.col("start") + F.col("size")).alias("byte_end")
+    hits = _repeated(chunked(docs, span)).select("doc_id", F.shiftright("place", UNIT_BITS).alias("start"), F.col("place").bitwiseAND((1 << UNIT_BITS) - 1).alias("units"), "size")
+    # rows that repeat a doc_id repeat its chunks
+    runs = _in_runs(hits).groupBy("doc_id", "run").agg(start, end, F.sum(F.when(F.col("new"), F.col("units"))).alias("units"))
     with small_batches(docs.sparkSession):
-        runs = materialize(runs.where(size >= least).withColumn("n_words", F.greatest("n_words", F.floor(size / BYTES_A_WORD))), "chunks")
-    long = runs.where(F.col("n_words") >= min_words).drop("others")
-    short = runs.where(F.col("n_words") < min_words)
+        runs = materialize(runs.where(F.col("units") >= shortest_run(span, min_words)).select("doc_id", "byte_start", "byte_end"), "chunks")
+    low = (1 << 32) - 1
     with small_batches(docs.sparkSession, 500):
-        drawn = materialize(_drawn_out(short.select("doc_id", "run", "byte_start", "byte_end", "others"), docs, min_words), "chunks")
-    short = short.select("doc_id", "run", "first_doc_id").join(drawn, ["doc_id", "run"]).select("doc_id", "run", F.col("s").alias("byte_start"), F.col("e").alias("byte_end"), F.col("n").alias("n_words"), "first_doc_id")
-    found = long.unionByName(short).select("doc_id", "byte_start", "byte_end", "n_words", "first_doc_id", (F.col("first_doc_id") != F.col("doc_id")).alias("duplicate"))
-    # neighbouring runs of one passage are drawn out to the same text
-    return found.dropDuplicates(["doc_id", "byte_start", "byte_end"])
+        held = _repeated(_windows(runs, docs, span, min_words)).select(
+            "doc_id", F.shiftright("place", 32).alias("start"), F.col("place").bitwiseAND(low).alias("size"), F.shiftright("words", 32).alias("nth"), F.col("words").bitwiseAND(low).alias("n"), "first_doc_id")
+        found = _in_runs(held).groupBy("doc_id", "run").agg(start, end, (F.max(F.col("nth") + F.col("n")) - F.min("nth")).alias("n_words"), F.mode("first_doc_id", True).alias("first_doc_id"))
+        found = materialize(found, "chunks")
+    n_words = F.greatest("n_words", F.floor((F.col("byte_end") - F.col("byte_start")) / BYTES_A_WORD)).alias("n_words")
+    return found.select("doc_id", "byte_start", "byte_end", n_words, "first_doc_id", (F.col("first_doc_id") != F.col("doc_id")).alias("duplicate"))

@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -79,3 +80,26 @@ def test_common_text():
     s, e = S.common(a, b, 10, 30)
     assert a[s:e] == b" the quick brown fox jumps over it "
     assert S.common(a, b"none of that", 10, 30) == (10, 10)
+
+
+def brute(rows, n=50):
+    """Documents that hold a stretch of n whole words, byte for byte, that another one holds."""
+    held = {}
+    for k, t in rows:
+        at = [m.span() for m in re.finditer(r"\S+", t)]
+        for a, b in zip(at, at[n - 1 :]):
+            held.setdefault(t[a[0] : b[1]], set()).add(k)
+    return {k for ids in held.values() if len(ids) > 1 for k in ids}
+
+
+def test_copies_between_decoys_are_found(spark):
+    # the chunks' first documents hold parts only: words 1-32 and words 23-54 of the passage
+    r = random.Random(21)
+    rows = []
+    for g in range(25):
+        w = text(r, 54).split()
+        rows += [(g * 20 + 1, f"{text(r, 9)} {' '.join(w[:32])} {text(r, 9)}"), (g * 20 + 2, f"{text(r, 9)} {' '.join(w[22:])} {text(r, 9)}")]
+        rows += [(g * 20 + k, f"{text(r, 20)} {' '.join(w)} {text(r, 20)}") for k in range(5, 10)]
+        rows += [(g * 20 + 18, f"{text(r, 9)} {' '.join(w[:32])} {text(r, 9)}"), (g * 20 + 19, f"{text(r, 9)} {' '.join(w[22:])} {text(r, 9)}")]
+    got = S.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {g.doc_id for g in got} == brute(rows) == {g * 20 + k for g in range(25) for k in range(5, 10)}
