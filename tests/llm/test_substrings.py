@@ -103,3 +103,13 @@ def test_copies_between_decoys_are_found(spark):
         rows += [(g * 20 + 18, f"{text(r, 9)} {' '.join(w[:32])} {text(r, 9)}"), (g * 20 + 19, f"{text(r, 9)} {' '.join(w[22:])} {text(r, 9)}")]
     got = S.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     assert {g.doc_id for g in got} == brute(rows) == {g * 20 + k for g in range(25) for k in range(5, 10)}
+
+
+def test_short_words_are_found(spark):
+    r = random.Random(22)
+    rows = []
+    for g in range(150):
+        w = " ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(1, 1 + g % 3))) for _ in range(50))
+        rows += [(g * 2 + k, f"{text(r, 20)} {w} {text(r, 20)}") for k in range(2)]
+    got = S.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {g.doc_id for g in got} == brute(rows) == set(range(300)) and all(g.n_words >= 50 for g in got)
