@@ -113,3 +113,14 @@ def test_short_words_are_found(spark):
         rows += [(g * 2 + k, f"{text(r, 20)} {w} {text(r, 20)}") for k in range(2)]
     got = S.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     assert {g.doc_id for g in got} == brute(rows) == set(range(300)) and all(g.n_words >= 50 for g in got)
+
+
+def test_neighbouring_short_repeats_are_no_passage(spark):
+    r = random.Random(23)
+    one, two = text(r, 45), text(r, 45)
+    rows = [(1, f"{text(r, 20)} {one} {two} {text(r, 20)}"), (2, f"{text(r, 20)} {one} {text(r, 20)}"), (3, f"{text(r, 20)} {two} {text(r, 20)}")]
+    assert S.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).count() == len(brute(rows)) == 0
+    solid = "".join(r.choice("abcdefghij") for _ in range(900))
+    rows = [(1, f"{text(r, 5)} x{solid}"), (2, f"{solid}y {text(r, 5)}")]
+    got = S.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {g.doc_id for g in got} == {1, 2} and all(50 <= g.n_words <= 56 for g in got)
