@@ -153,7 +153,7 @@ def runs(at: np.ndarray, item: np.ndarray, there: np.ndarray, widths: dict[int,
 def judged(token: np.ndarray, word: np.ndarray, bench: Benchmark, least: int) -> list[tuple[int, int, int, int, int, int]]:
     """What one document holds of each item: item, start, end, tokens, slots, slots that changed.
 
-    An item counts by one long run, or by runs in pieces that cover half of it.
+    An item counts by the longest of its long runs that agrees, or by shorter runs that cover half of it.
     """
     at, item, there = bench.hits(token)
     if not len(at):
@@ -165,23 +165,20 @@ def judged(token: np.ndarray, word: np.ndarray, bench: Benchmark, least: int) ->
     out = []
     for i, found in by_item.items():
         size = len(bench.token[i])
-        covered, document = np.zeros(size, dtype=bool), np.full(size, -1)  # of the item, and where its tokens stand
         found.sort(key=lambda r: (-r[0], r[1], r[2]))
-        for n, a, b in found:  # the longest run has the say where runs overlap
+        tried = [(np.arange(b, b + n), np.arange(a, a + n)) for n, a, b in found if n >= min(least, size)]
+        covered, document = np.zeros(size, dtype=bool), np.full(size, -1)  # of the item by its pieces, and where its tokens stand
+        for n, a, b in found[len(tried) :]:  # the longest piece has the say where pieces overlap
             free = np.flatnonzero(~covered[b : b + n]) + b
             covered[free], document[free] = True, a + free - b
-        n, a, b = found[0]
-        if n >= min(least, size):  # one run
-            theirs, mine = np.arange(b, b + n), np.arange(a, a + n)
-        elif covered.sum() >= max(least, size / 2):
-            theirs, mine = np.flatnonzero(covered), document[covered]
-        else:
-            continue
-        kinds, was, is_ = bench.token[i][theirs], bench.word[i][theirs], word[mine]
-        if not _agrees(was, is_, kinds):
-            continue
-        slot = np.isin(kinds, (NUMBER, NAME, UNIT))
-        out.append((i, int(mine.min()), int(mine.max()) + 1, len(mine), int(slot.sum()), int((was[slot] != is_[slot]).sum())))
+        if covered.sum() >= max(least, size / 2):
+            tried.append((np.flatnonzero(covered), document[covered]))
+        for theirs, mine in tried:
+            kinds, was, is_ = bench.token[i][theirs], bench.word[i][theirs], word[mine]
+            if _agrees(was, is_, kinds):
+                slot = np.isin(kinds, (NUMBER, NAME, UNIT))
+                out.append((i, int(mine.min()), int(mine.max()) + 1, len(mine), int(slot.sum()), int((was[slot] != is_[slot]).sum())))
+                break
     return out
 
 

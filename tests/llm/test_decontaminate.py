@@ -45,3 +45,11 @@ def test_items_in_pieces(spark):
     docs = spark.createDataFrame([(1, edited), (2, half)], "doc_id bigint, text string")
     items = spark.createDataFrame([(11, OTHER)], "item_id bigint, text string")
     assert [(r.doc_id, r.n_tokens) for r in D.contaminated(docs, items).collect()] == [(1, 26)]
+
+
+def test_a_copy_after_an_inconsistent_one_counts(spark):
+    broken = ITEM.replace("Paris", "Turin", 1)
+    docs = spark.createDataFrame([(1, f"{broken}.\n{ITEM}."), (2, broken)], "doc_id bigint, text string")
+    items = spark.createDataFrame([(10, ITEM)], "item_id bigint, text string")
+    for size in (D.MAX_BROADCAST, 0):
+        assert [(r.doc_id, r.token_start, r.changed) for r in D.contaminated(docs, items, max_broadcast=size).collect()] == [(1, 31, 0)]
