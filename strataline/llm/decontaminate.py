@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _hashing as H
@@ -217,8 +217,15 @@ def _matcher(bench: Benchmark, least: int):
     return match
 
 
+ROW = "_strataline_row"  # a key of each row in the shuffled path: rows may repeat a doc_id
+
+
+def _row() -> Column:
+    return F.xxhash64(F.col("doc_id").cast("bigint"), "text")
+
+
 def _candidates(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, text, item_id, item) that share a window, by a shuffled join: for benchmarks too large to send to every task."""
+    """(row key, doc_id, text, item_id, item) that share a window, by a shuffled join: for benchmarks too large to send to every task."""
 
     def spread(key: str, widths: tuple[int, ...]):
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,12 +238,12 @@ def _candidates(docs: DataFrame, items: DataFrame) -> DataFrame:
 
         return cut
 
-    docs = docs.where("doc_id is not null")
+    docs = docs.where("doc_id is not null").withColumn(ROW, _row()).distinct()
     widths = tuple(range(SHORTEST, WINDOW + 1))
-    one = docs.select("doc_id", "text").mapInArrow(spread("doc_id", widths), "doc_id bigint, h bigint")
+    one = docs.select(ROW, "text").mapInArrow(spread(ROW, widths), f"{ROW} bigint, h bigint")
     two = items.select("item_id", "text").mapInArrow(spread("item_id", widths), "item_id bigint, h bigint")
-    pairs = one.join(two, "h").select("doc_id", "item_id").distinct()
-    return pairs.join(docs.select("doc_id", "text"), "doc_id").join(items.select("item_id", F.col("text").alias("item")), "item_id")
+    pairs = one.join(two, "h").select(ROW, "item_id").distinct()
+    return pairs.join(docs, ROW).join(items.select("item_id", F.col("text").alias("item")), "item_id")
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
@@ -252,10 +259,26 @@ def _small(items: DataFrame, max_broadcast: int) -> Benchmark | None:
     return Benchmark([r.item_id for r in rows], [r.text for r in rows])
 
 
+def _matched(pairs: DataFrame, least: int) -> DataFrame:
+    """Candidates (doc_id, text, item_id, item) -> result rows."""
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                one = batch.slice(row, 1)
+                bench = Benchmark(one.column("item_id").to_pylist(), one.column("item").to_pylist())
+                yield from _matcher(bench, least)(iter([one]))
+
+    return pairs.select("doc_id", "text", "item_id", "item").mapInArrow(match, f"doc_id bigint, {RESULT}")
+
+
 def clean(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """The rows of ``docs``, all columns, that hold no item of the benchmark. Rows with a null doc_id are judged alike where the benchmark is sent to every task, and stay otherwise."""
-    if (bench := _small(_items(benchmark), max_broadcast)) is None:
-        return docs.join(contaminated(docs, benchmark, least, max_broadcast).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    items = _items(benchmark)
+    if (bench := _small(items, max_broadcast)) is None:
+        named = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("text is not null")
+        held = _matched(_candidates(named, items).withColumn("doc_id", F.col(ROW)), least).select(F.col("doc_id").alias(ROW)).distinct()
+        return docs.withColumn(ROW, _row()).join(held, ROW, "left_anti").select(docs.columns)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -273,11 +296,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, max_
     if (bench := _small(items, max_broadcast)) is not None:
         return docs.mapInArrow(_matcher(bench, least), f"doc_id bigint, {RESULT}").distinct()
 
-    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                one = batch.slice(row, 1)
-                bench = Benchmark(one.column("item_id").to_pylist(), one.column("item").to_pylist())
-                yield from _matcher(bench, least)(iter([one]))
-
-    return _candidates(docs, items).mapInArrow(match, f"doc_id bigint, {RESULT}").distinct()
+    return _matched(_candidates(docs, items), least).distinct()

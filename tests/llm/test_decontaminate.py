@@ -53,3 +53,11 @@ def test_a_copy_after_an_inconsistent_one_counts(spark):
     items = spark.createDataFrame([(10, ITEM)], "item_id bigint, text string")
     for size in (D.MAX_BROADCAST, 0):
         assert [(r.doc_id, r.token_start, r.changed) for r in D.contaminated(docs, items, max_broadcast=size).collect()] == [(1, 31, 0)]
+
+
+def test_rows_that_repeat_a_doc_id_are_judged_one_by_one(spark):
+    docs = spark.createDataFrame([(1, ITEM), (1, "nothing of the kind"), (1, None), (2, OTHER)], "doc_id bigint, text string")
+    items = spark.createDataFrame([(10, ITEM)], "item_id bigint, text string")
+    for size in (D.MAX_BROADCAST, 0):
+        assert sorted(str(r.text) for r in D.clean(docs, items, max_broadcast=size).collect()) == sorted([OTHER, "None", "nothing of the kind"])
+        assert [(r.doc_id, r.item_id) for r in D.contaminated(docs, items, max_broadcast=size).collect()] == [(1, 10)]
