@@ -10,7 +10,8 @@ be plain words, and the slots consistent: one value in the item became one value
 document. Word for word copies count whatever their words are.
 
 - number: a word that begins with a digit, and a number word (fixed list).
-- name: a capitalised word (not all in capitals) that does not begin a sentence or a line.
+- name: a capitalised word (not all in capitals) that does not begin a sentence or a line. The
+  first word of an item meets itself inside a line, too.
 - unit: a word of the fixed list right after a number.
 
 The windows of the benchmark go to every task while there are at most ``MAX_BROADCAST``
@@ -102,6 +103,14 @@ def windows(token: np.ndarray, width: int) -> np.ndarray:
     return H.mix64(h + H.U64(width))
 
 
+def _first_forms(token: np.ndarray, word: np.ndarray, width: int) -> np.ndarray:
+    """The hashes of an item's first window if its first word, which is plain where a row begins, is a name or unit inside a line."""
+    if len(token) < width or token[0] == NUMBER:
+        return np.zeros(0, H.U64)
+    kinds = [NAME, UNIT] if _among(word[:1], _UNITS)[0] else [NAME]
+    return np.concatenate([windows(np.append(np.array([k], H.U64), token[1:width]), width) for k in kinds])
+
+
 class Benchmark:
     """Window hashes of all items in order, with the item and position of each."""
 
@@ -115,8 +124,8 @@ class Benchmark:
         parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for i, t in enumerate(self.token):
             if len(t) >= SHORTEST:
-                h = windows(t, min(WINDOW, len(t)))
-                parts.append((h, np.full(len(h), i), np.arange(len(h))))
+                h, more = windows(t, min(WINDOW, len(t))), _first_forms(t, self.word[i], min(WINDOW, len(t)))
+                parts.append((np.append(h, more), np.full(len(h) + len(more), i), np.append(np.arange(len(h)), np.zeros(len(more), int))))
         h, item, at = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, H.U64), np.zeros(0, int), np.zeros(0, int))
         order = np.argsort(h, kind="stable")
         self.hash, self.item, self.at = h[order], item[order].astype(np.int32), at[order].astype(np.int32)
@@ -156,6 +165,10 @@ def judged(token: np.ndarray, word: np.ndarray, bench: Benchmark, least: int) ->
     An item counts by the longest of its long runs that agrees, or by shorter runs that cover half of it.
     """
     at, item, there = bench.hits(token)
+    # a first word that is taken for a name inside a line must be the very word
+    begins = np.flatnonzero(there == 0)
+    other = np.array([token[at[k]] != bench.token[item[k]][0] and word[at[k]] != bench.word[item[k]][0] for k in begins], dtype=bool)
+    at, item, there = (np.delete(x, begins[other]) for x in (at, item, there))
     if not len(at):
         return []
     widths = {int(i): min(WINDOW, len(bench.token[i])) for i in np.unique(item)}
@@ -233,7 +246,7 @@ def _candidates(docs: DataFrame, items: DataFrame) -> DataFrame:
                 ids = batch.column(key).to_numpy(zero_copy_only=False)
                 for found, token in templates(*H.buffers(batch.column("text"))):
                     for k, (a, b) in enumerate(zip(found.ptr[:-1], found.ptr[1:])):
-                        h = np.unique(np.concatenate([windows(token[a:b], w) for w in widths]))
+                        h = np.unique(np.concatenate([f for w in widths for f in (windows(token[a:b], w), *([_first_forms(token[a:b], found.hash[a:b], w)] if key == "item_id" and b > a else []))]))
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), ids[found.first + k])), pa.array(h.view(np.int64))], names=[key, "h"])
 
         return cut

@@ -61,3 +61,14 @@ def test_rows_that_repeat_a_doc_id_are_judged_one_by_one(spark):
     for size in (D.MAX_BROADCAST, 0):
         assert sorted(str(r.text) for r in D.clean(docs, items, max_broadcast=size).collect()) == sorted([OTHER, "None", "nothing of the kind"])
         assert [(r.doc_id, r.item_id) for r in D.contaminated(docs, items, max_broadcast=size).collect()] == [(1, 10)]
+
+
+def test_short_items_inside_a_line(spark):
+    items = [(1, "Which river flows through the city of Vienna"), (2, "Which river flows through it"), (3, "How many small boats can the old harbour hold in winter"), (4, "Days of rain come before the flood")]
+    docs = [(k, f"{mark} {text}") for k, text in items for mark in ("1)", "so,", "see [", "x -", "1.")] + [(9, "so, Vienna river flows through it")]
+    docs, items = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    docs = docs.withColumn("doc_id", F.col("doc_id") * 100 + F.length("text"))
+    for size in (D.MAX_BROADCAST, 0):
+        got = {(r.doc_id, r.item_id) for r in D.contaminated(docs, items, max_broadcast=size).collect()}
+        assert {d for d, i in got if d // 100 == i} == {r.doc_id for r in docs.collect() if r.doc_id < 900} and not any(d >= 900 for d, _ in got)
+        assert D.clean(docs, items, max_broadcast=size).count() == 1
