@@ -2,7 +2,7 @@
 
 The base patterns find ``assign``, ``access`` and ``hex`` spans (see ``base_spans``). The
 lexer then reads the text as name-literal pairs: ``name = "literal"``, ``"name": "literal"``,
-``name := a + "b"``, ``export NAME=bare``. Literals are joined over ``+``, names that were
+``name := a + "b"``, ``export NAME=bare``, ``name: type = "literal"``, ``at["name"] = "literal"``. Literals are joined over ``+``, names that were
 assigned before stand for their values (constant propagation, the last assignment before
 the use), and each resulting value is scored by how sensitive its target's name is and how
 secret-like the value looks. Values that score enough give ``lexed`` spans: the literals
@@ -48,7 +48,10 @@ def base_spans(text: str) -> list[Span]:
 
 _NAME = r"[A-Za-z_$][\w$]*(?:[.-][A-Za-z_$][\w$]*){0,8}"
 _QUOTED = r""""(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`"""
-_PAIR = re.compile(rf"""(?:(?P<name>(?<![\w$.-]){_NAME})|(?P<q>["'])(?P<quoted>{_NAME})(?P=q))[ \t]*(?P<op>:=|=>|=(?![=~])|:(?![:/]))[ \t]*(?=(?P<value>["'`]|[\w$]))""")
+# a type annotation, before "=" only: str, string?, &'static str, Optional[str], string | null, String[]
+_KIND = r"(?:&(?:'\w+[ \t]+)?)?[A-Za-z_][\w.]*(?:\[[^\]=\n]{0,60}\]|<[^>=\n]{0,60}>){0,2}[?!]?"
+_TYPED = rf"(?::[ \t]*{_KIND}(?:[ \t]*\|[ \t]*{_KIND}){{0,4}}[ \t]*(?==(?![=~>])))?"
+_PAIR = re.compile(rf"""(?:(?P<name>(?<![\w$.-]){_NAME})|(?P<q>["'])(?P<quoted>{_NAME})(?P=q)(?:[ \t]*\])?)[ \t]*{_TYPED}(?P<op>:=|=>|=(?![=~])|:(?![:/]))[ \t]*(?=(?P<value>["'`]|[\w$]))""")
 _TERM = re.compile(rf"(?P<literal>{_QUOTED})|(?P<ref>{_NAME})(?![\w$(\[])")
 _BARE = re.compile(r"[^\s\"'`,;#]+")
 _PLUS = re.compile(r"[ \t]*(?:\+|\.\.)[ \t]*(?=[\"'`A-Za-z_$])")

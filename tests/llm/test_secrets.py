@@ -58,3 +58,11 @@ def test_scan_and_mask(spark):
     out = {(r.doc_id, r.text, r.n_chars) for r in S.mask(df).collect()}
     assert out == {(1, 'é [secret]" end', 15), (2, None, 9), (3, "", 9), (4, "plain words", 9), (None, "[secret]", 8)}
     assert S.mask(df).columns == df.columns and S.scan(df.limit(0)).count() == 0 == S.mask(df.limit(0)).count()
+
+
+@pytest.mark.parametrize("text", [
+    'db_password: str = "Xk29fj3kd02"', 'let dbPassword: string = "Xk29fj3kd02";', 'val dbPassword: String? = "Xk29fj3kd02"', "let db_password: &'static str = \"Xk29fj3kd02\";", 'db_password: Optional[str] = "Xk29fj3kd02"',
+    'dbPassword: string | null = "Xk29fj3kd02"', 'password: string = "Xk29fj3kd02"', 'config["db_password"] = "Xk29fj3kd02"', "os.environ['DB_PASSWORD' ] = 'Xk29fj3kd02'", 'config["a"]["db_password"]="Xk29fj3kd02"'])
+def test_typed_and_subscript_targets(text):
+    assert [text[a:b] for k, a, b in S.all_spans(text)[1] if k == "lexed"] == ["Xk29fj3kd02"]
+    assert "Xk29fj3kd02" not in S.masked(text)
