@@ -5,13 +5,14 @@ A page is read as a stream of tags and character data. Parts that are never arti
 whose class, id or role names them as adverts, menus, notices or reader comments) are
 left out with all they hold; an element outside an article that is so named loses its own blocks
 only, not an article in it, because layouts wrap whole pages in such names. Where a page has
-an article or main element, the blocks of those are all that is looked at. What remains is cut into blocks at block-level tags.
+article or main elements that hold at least half of the good text (of what pass 1 takes for good by the rules for
+pages without them), their blocks are all that is looked at; else (teaser cards, say) they are judged like any other. What remains is cut into blocks at block-level tags.
 
 Pass 1 judges each block by itself: by its share of words in links, its length in words,
 and its density of stop words (of several languages). It is good, bad, or ambiguous: too
 short, or in between. Pass 2 gives ambiguous blocks the label of their nearest decided
 neighbours: alike on both sides, that; else good if the nearer one is (ties: good), and
-headings look only forward. Blocks in an ``article`` or ``main`` element lean to good.
+headings look only forward. Blocks in such an ``article`` or ``main`` element lean to good.
 
 Character references are decoded, runs of white space inside a block become one space,
 blocks are trimmed and joined by an empty line.
@@ -69,6 +70,7 @@ class Block(NamedTuple):
     heading: bool
     inside: bool  # of an article or main element
     marked: bool  # of an element outside articles that is named as something else
+    wrapped: bool  # of an article or main element in an element that is so named
 
 
 def _marked(attrs: str) -> bool:
@@ -103,7 +105,7 @@ def blocks(page: str) -> tuple[list[Block], bool]:
             joined = _SPACE.sub(" ", charrefs.unescape("".join(text))).strip()
             text.clear()
             if joined:
-                out.append(Block(joined, linked, headings > 0, articles > 0, bool(weak)))
+                out.append(Block(joined, linked, headings > 0, articles > 0, bool(weak), any(around)))
         linked = 0
 
     at, end = 0, len(page)
@@ -211,7 +213,10 @@ def main_text(page: str | None) -> str:
     found, has_article = blocks(page or "")
     if has_article and not any(b.inside for b in found):
         has_article = False  # an empty one
-    found = [b for b in found if (b.inside if has_article else not b.marked)]
+    if has_article:
+        good = [b for b in found if not b.marked and judge(b, False) == GOOD]
+        has_article = 2 * sum(len(b.text) for b in good if b.inside) >= sum(len(b.text) for b in good if b.inside or not b.wrapped)
+    found = [b for b in found if (b.inside if has_article else not (b.marked or b.wrapped))]
     first = [judge(b, has_article) for b in found]
     n = len(found)
     before, after = [-1] * n, [n] * n  # nearest decided blocks

@@ -39,3 +39,12 @@ def test_long_page_and_table(spark):
     got = X.extract(df).collect()
     assert [(r.page_id, r.url, r.n_chars) for r in got] == [(1, "u", 3000 * (len(LONG) + 2) - 2), (2, None, 0), (3, "v", 0), (3, "v", 0), (None, "w", len(LONG))]
     assert all(r.n_chars == len(r.text) for r in got) and X.extract(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("wrapper", ["<div>", "<div class='related'>", "<div class=list>"])
+def test_teaser_cards_do_not_hide_the_story(wrapper):
+    cards = "<article class='card'><h3>More</h3><p>The other fox was seen on the hill and it was not alone there at all.</p></article>" * 2
+    story = "<div class='content'>" + f"<p>{LONG}</p>" * 6 + "</div>"
+    got = X.main_text(f"{story}{wrapper}{cards}</div>")
+    assert got.count(LONG) == 6 and ("related" not in wrapper or "other fox" not in got)
+    assert X.main_text(f"<article>{story}</article>{wrapper}<p>{LONG}</p></div>") == "\n\n".join([LONG] * 6)
