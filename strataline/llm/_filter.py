@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 BROADCAST_IDS = 1_000_000
 
 
-def only(rows: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The rows whose ``key`` is in ``ids`` (one column of that name), sent to every task only while few."""
+def only(rows: DataFrame, ids: DataFrame, key: str = "doc_id", how: str = "left_semi") -> DataFrame:
+    """The rows whose ``key`` is in ``ids`` (one column of that name; left_anti: is not), sent to every task only while few."""
     ids = ids.distinct()
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return rows.join(F.broadcast(ids) if few else ids, key, "left_semi")
+    return rows.join(F.broadcast(ids) if few else ids, key, how)
