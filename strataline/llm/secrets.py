@@ -2,11 +2,15 @@
 
 The base patterns find ``assign``, ``access`` and ``hex`` spans (see ``base_spans``). The
 lexer then reads the text as name-literal pairs: ``name = "literal"``, ``"name": "literal"``,
-``name := a + "b"``, ``export NAME=bare``, ``name: type = "literal"``, ``at["name"] = "literal"``. Literals are joined over ``+``, names that were
-assigned before stand for their values (constant propagation, the last assignment before
-the use), and each resulting value is scored by how sensitive its target's name is and how
-secret-like the value looks. Values that score enough give ``lexed`` spans: the literals
-that make them up, wherever they stand.
+``name := a + "b"``, ``export NAME=bare``, ``name: type = "literal"``, ``at["name"] = "literal"``,
+``f("name", "literal")``, ``<name>literal</name>``, ``<add key="name" value="literal"/>``, and
+indented blocks after ``name: |``; literals may stand in triple quotes. Literals are joined over
+``+``, names that were assigned before stand for their values (constant propagation, the last
+assignment before the use), what is not known adds nothing, and each resulting value is scored by
+how sensitive its target's name is and how secret-like the first ``SCORED`` characters of the value
+look. Values that score enough give ``lexed`` spans: all the literals that make them up, wherever
+they stand. Names may have any number of parts, values any number of terms; time and memory grow
+with the text's length alone.
 
 Spans are in code points, the end exclusive. Null texts have no spans. Empty tables give
 empty tables; other columns are ignored.
@@ -46,15 +50,24 @@ def base_spans(text: str) -> list[Span]:
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
-_NAME = r"[A-Za-z_$][\w$]*(?:[.-][A-Za-z_$][\w$]*){0,8}"
-_QUOTED = r""""(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`"""
+_NAME = r"[A-Za-z_$][\w$]*+(?:[.-][A-Za-z_$][\w$]*+)*+"
+_QUOTED = r"""\"{3}(?:[^"\\]|\\.|"(?!""))*+\"{3}|'{3}(?:[^'\\]|\\.|'(?!''))*+'{3}|"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+'|`[^`\n]*+`"""
 # a type annotation, before "=" only: str, string?, &'static str, Optional[str], string | null, String[]
-_KIND = r"(?:&(?:'\w+[ \t]+)?)?[A-Za-z_][\w.]*(?:\[[^\]=\n]{0,60}\]|<[^>=\n]{0,60}>){0,2}[?!]?"
+_KIND = r"(?:&(?:'\w+[ \t]+)?)?[A-Za-z_][\w.]*+(?:\[[^\]=\n]{0,60}\]|<[^>=\n]{0,60}>){0,2}[?!]?"
 _TYPED = rf"(?::[ \t]*{_KIND}(?:[ \t]*\|[ \t]*{_KIND}){{0,4}}[ \t]*(?==(?![=~>])))?"
-_PAIR = re.compile(rf"""(?:(?P<name>(?<![\w$.-]){_NAME})|(?P<q>["'])(?P<quoted>{_NAME})(?P=q)(?:[ \t]*\])?)[ \t]*{_TYPED}(?P<op>:=|=>|=(?![=~])|:(?![:/]))[ \t]*(?=(?P<value>["'`]|[\w$]))""")
-_TERM = re.compile(rf"(?P<literal>{_QUOTED})|(?P<ref>{_NAME})(?![\w$(\[])")
+_PAIR = re.compile(
+    # an entry of configuration: <add key="name" value="literal"/>
+    rf"""(?<![\w.-])(?:key|name)[ \t]*=[ \t]*(?P<r>["'])(?P<entry>{_NAME})(?P=r)[ \t]+value[ \t]*=[ \t]*(?=["'])"""
+    rf"""|(?:(?P<name>(?<![\w$.-]){_NAME})|(?P<q>["'])(?P<quoted>{_NAME})(?P=q)(?:[ \t]*\])?)[ \t]*{_TYPED}(?P<op>:=|=>|=(?![=~])|:(?![:/]))[ \t]*(?=(?P<value>["'`|>]|[\w$]))"""
+    # arguments of a call: setProperty("name", "literal")
+    rf"""|\([ \t]*(?P<p>["'])(?P<argument>{_NAME})(?P=p)[ \t]*(?P<comma>,)[ \t]*(?=["'`]|[A-Za-z_$])"""
+    # an element: <name>literal</name>
+    rf"""|<(?P<tag>[A-Za-z_][\w.:-]*+)(?:[ \t][^<>\n]*+)?>(?P<content>[^<>]++)</(?P=tag)[ \t]*>""")
+# a literal, a name, or a call or subscript whose value is unknown
+_TERM = re.compile(rf"(?P<literal>{_QUOTED})|(?P<ref>{_NAME})(?P<unknown>[ \t]*(?:\([^()\n]*\)|\[[^\[\]\n]*\]))*+(?![\w$(\[])", re.DOTALL)
 _BARE = re.compile(r"[^\s\"'`,;#]+")
-_PLUS = re.compile(r"[ \t]*(?:\+|\.\.)[ \t]*(?=[\"'`A-Za-z_$])")
+_BLOCK = re.compile(r"[|>][-+]?[ \t]*\r?\n(?P<lines>(?:[ \t]+\S[^\n]*(?:\n|\Z))+)")
+_PLUS = re.compile(r"[ \t]*(?:\+|\.\.)[ \t]*(?:\\?\r?\n[ \t]*)?(?=[\"'`A-Za-z_$])")
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
 # What the parts of a name say about its value.
@@ -72,7 +85,7 @@ def sensitivity(name: str) -> float:
     if STRONG & (joined | set(parts)):
         return 1.0
     weak = len(WEAK & set(parts))
-    return min(1.0, 0.5 * weak)
+    return min(1.0, 0.75 * weak)
 
 
 def secrecy(value: str) -> float:
@@ -86,43 +99,104 @@ def secrecy(value: str) -> float:
     return max(0.0, min(1.0, bits / 4 * 0.5 + min(n, 32) / 32 * 0.25 + (classes - 1) / 3 * 0.25 - 2 * spaced))
 
 
+#: Characters of a value, from its beginning, that are looked at when it is scored.
+SCORED = 256
+
+
+class Value:
+    """What a name stands for: the beginning of its text, and the literals that make it up.
+
+    Literals of other names are kept by reference, so a value takes no more room than its own
+    expression, however often names are joined to themselves.
+    """
+
+    __slots__ = ("head", "spans", "parts", "told")
+
+    def __init__(self) -> None:
+        self.head = ""
+        self.spans: list[tuple[int, int]] = []
+        self.parts: list[Value] = []
+        self.told = False
+
+    def add(self, text: str) -> None:
+        if len(self.head) < SCORED:
+            self.head += text[: SCORED - len(self.head)]
+
+    def tell(self, out: set[tuple[int, int]]) -> None:
+        """All literals under this value, each value once however many names lead to it."""
+        todo = [self]
+        while todo:
+            value = todo.pop()
+            if not value.told:
+                value.told = True
+                out.update(value.spans)
+                todo += value.parts
+
+
+def _literal(t: re.Match[str]) -> tuple[int, int]:
+    """Where the text inside the quotes stands."""
+    a, b = t.span("literal")
+    n = 3 if b - a >= 6 and t["literal"][:3] in ('"""', "'''") else 1
+    return a + n, b - n
+
+
+def _expression(text: str, at: int, known: dict[str, Value]) -> tuple[Value, int]:
+    """The value of literals and names joined from ``at`` on, and where it ends. Terms that nothing is known of add nothing."""
+    value = Value()
+    end = at
+    while t := _TERM.match(text, at):
+        if t["literal"]:
+            a, b = _literal(t)
+            value.spans.append((a, b))
+            value.add(text[a : min(b, a + SCORED)])
+        elif t["ref"] in known and not t["unknown"]:
+            value.parts.append(known[t["ref"]])
+            value.add(known[t["ref"]].head)
+        at = end = t.end()
+        if not (plus := _PLUS.match(text, at)):
+            break
+        at = plus.end()
+    return value, end
+
+
 def lexed_spans(text: str, least: float = 0.45) -> list[Span]:
     """Literals whose target names and values together score ``least`` or more."""
-    if "=" not in text and ":" not in text:
+    if not any(c in text for c in "=:,<"):
         return []
-    known: dict[str, tuple[str, tuple[tuple[int, int], ...]]] = {}
+    known: dict[str, Value] = {}
     out: set[tuple[int, int]] = set()
     at = 0
     while m := _PAIR.search(text, at):
-        name = m["name"] or m["quoted"]
-        at, value, spans, plain = m.end(), "", [], False
-        while t := _TERM.match(text, at):
-            if t["literal"]:
-                value += t["literal"][1:-1]
-                spans.append((t.start() + 1, t.end() - 1))
-            elif t["ref"] in known:
-                value += known[t["ref"]][0]
-                spans += known[t["ref"]][1]
-            else:
-                plain = not spans
-                break
-            at = t.end()
-            if not (plus := _PLUS.match(text, at)):
-                break
-            at = plus.end()
+        name = m["name"] or m["quoted"] or m["argument"] or m["tag"] or m["entry"]
+        at = m.end()
+        if m["tag"]:
+            a, b = m.span("content")
+            value = Value()
+            value.spans.append((a + len(m["content"]) - len(m["content"].lstrip()), b - len(m["content"]) + len(m["content"].rstrip())))
+            value.add(m["content"].strip()[:SCORED])
+        elif m["value"] in ("|", ">"):
+            value = Value()
+            if m["op"] == ":" and (b := _BLOCK.match(text, at)):
+                for line in re.finditer(r"\S+(?:[ \t]+\S+)*", b["lines"]):
+                    a = b.start("lines") + line.start()
+                    value.spans.append((a, a + len(line[0])))
+                    value.add(line[0])
+                at = b.end()
         else:
-            plain = not spans
-        if plain and m["op"] in ("=", ":") and (b := _BARE.match(text, m.end())):
-            value, spans, at = b[0], [b.span()], m.end()
-            # an unquoted value is a literal only where digits or mixed case tell it from prose
-            if not (re.search(r"\d", value) and re.search(r"[A-Za-z]", value)):
-                value = ""
-        at = max(at, m.end())
-        if value:
-            known[name] = (value, tuple(dict.fromkeys(spans)))
-            if (s := sensitivity(name)) and s * secrecy(value) >= least:
-                out.update(x for x in spans if x[1] > x[0])
-    return [("lexed", a, b) for a, b in sorted(out)]
+            value, end = _expression(text, at, known)
+            if value.spans or value.parts:
+                at = end
+            elif m["op"] in ("=", ":") and (b := _BARE.match(text, m.end())):
+                at = b.end()
+                # an unquoted value is a literal only where digits or mixed case tell it from prose
+                if re.search(r"\d", b[0]) and re.search(r"[A-Za-z]", b[0]):
+                    value.spans.append(b.span())
+                    value.add(b[0][:SCORED])
+        if value.head:
+            known[name] = value
+            if (s := sensitivity(name)) and s * secrecy(value.head) >= least:
+                value.tell(out)
+    return [("lexed", a, b) for a, b in sorted(out) if b > a]
 
 
 def all_spans(text: str) -> tuple[list[Span], list[Span]]:

@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -66,3 +67,49 @@ def test_scan_and_mask(spark):
 def test_typed_and_subscript_targets(text):
     assert [text[a:b] for k, a, b in S.all_spans(text)[1] if k == "lexed"] == ["Xk29fj3kd02"]
     assert "Xk29fj3kd02" not in S.masked(text)
+
+
+@pytest.mark.parametrize(("text", "found"), [
+    ('api_key = base + "Zx91kd82jd0Qmz"', ["Zx91kd82jd0Qmz"]),
+    ('key = os.getenv("X") + "Zx91kd82jd0Qmz"', ["Zx91kd82jd0Qmz"]),
+    ('conf["password"] = "q8Zx91kd82"', ["q8Zx91kd82"]),
+    ('password = """q8Zx91\nkd82"""', ["q8Zx91\nkd82"]),
+    ("pwd = '''q8'Zx91kd82'''", ["q8'Zx91kd82"]),
+    ("<db.password>\n q8Zx91kd82 </db.password>", ["q8Zx91kd82"]),
+    ('<add key="db.password" value="q8Zx91kd82"/>', ["q8Zx91kd82"]),
+    ('os.environ.setdefault("API_KEY", "Zx91kd82jd0Qmz")', ["Zx91kd82jd0Qmz"]),
+    ("client_secret: |\n  Zx91kd82jd0Qmz\n  abcDEF0192837\nother: 3", ["Zx91kd82jd0Qmz", "abcDEF0192837"]),
+    ("client_secret: Zx91kd82jd0Qmz", ["Zx91kd82jd0Qmz"]),
+    ('base = "Zx91kd82jd0Qmz"\ntoken_value = base', ["Zx91kd82jd0Qmz"]),
+    ('db_pass: str = "Xk29fj3kd02"', ["Xk29fj3kd02"]),
+    ('a.b.c.d.e.f.g.h.i.j.k.l.password = "q8Zx91kd82"', ["q8Zx91kd82"]),
+    ('pwd = "q8Zx91" + \n    "kd82jd0Q"', ["q8Zx91", "kd82jd0Q"]),
+    ('x = "Zx91kd82jd0Qmz"\nx = "other"\npwd = x', []),
+    ('<p class="key">the 2nd door</p>', []),
+    ('title: |\n  Zx91kd82jd0Qmz\n', [])])
+def test_syntax_of_source_and_configuration(text, found):
+    assert [text[a:b] for k, a, b in S.all_spans(text)[1] if k == "lexed"] == found
+
+
+def test_names_joined_to_themselves_take_no_room():
+    doubled = 'a0 = "xY9zK2qq"\n' + "".join(f"a{k} = a{k - 1} + a{k - 1}\n" for k in range(1, 200)) + "password = a199"
+    assert [doubled[a:b] for _, a, b in S.lexed_spans(doubled)] == ["xY9zK2qq"]
+
+
+@pytest.mark.parametrize(("piece", "times", "end"), [
+    ('"abC1zQ9x" + ', 200000, '"x"'), ('x = "abc" + ', 80000, ""), ("a.", 300000, 'b = "q"'), ('a="', 100001, ""), ("a: b | c | d ", 60000, ""), ('a="""', 100001, ""), ("k: |\n a\n", 60000, ""),
+    ("<a>x", 200000, ""), ('("a', 200000, ""), ("x = f(", 100000, ""), ("(a)[b]", 100000, ""), ("a:", 200000, ""), ("a =\t", 200000, ""), ("\\", 500000, '"'), (" + a", 200000, ""), ('key="a" ', 60000, "")])
+def test_time_grows_with_the_length(piece, times, end):
+    text = "password = " + piece * times + end
+    began = time.perf_counter()
+    spans = S.lexed_spans(text)
+    assert time.perf_counter() - began < 5 and all(0 <= a < b <= len(text) for _, a, b in spans)
+    assert len(spans) == times + 1 or "abC1" not in piece
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["pwd", "a", "b.c", "=", ":", "+", " ", "\n", '"q8Zx91kd82"', "'x'", '"""', "[", "]", "(", ")", "<", ">", "</a>", "|", ",", "\\", "é", "$", "key=", "value="]), max_size=30).map("".join))
+def test_any_text_gives_spans_inside_it(text):
+    spans = S.lexed_spans(text)
+    assert spans == sorted(set(spans)) and all(0 <= a < b <= len(text) for _, a, b in spans)
+    assert S.masked(text) == text or spans
