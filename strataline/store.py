@@ -4,9 +4,21 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+from functools import wraps
+from typing import ParamSpec
 
 from pyspark.sql import DataFrame, SparkSession
 
+P = ParamSpec("P")
+
+#: Tables that the innermost ``tidy`` function has written so far.
+_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
+#: Shuffle files go at the end of an execution, not when the driver next collects garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
@@ -24,7 +36,27 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, stem: str) -> str:
-    return f"{scratch_dir(spark)}/{stem}-{uuid.uuid4().hex}"
+    """A folder that nothing has written yet. It goes with the others at the end of the innermost ``tidy`` function."""
+    path = f"{scratch_dir(spark)}/{stem}-{uuid.uuid4().hex}"
+    if (written := _written.get()) is not None:
+        written.append(path)
+    return path
+
+
+@contextmanager
+def _shuffles_go(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
+def _write(df: DataFrame, path: str) -> DataFrame:
+    with _shuffles_go(df.sparkSession):
+        df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def materialize(df: DataFrame, stem: str) -> DataFrame:
@@ -32,9 +64,46 @@ def materialize(df: DataFrame, stem: str) -> DataFrame:
 
     This cuts the lineage: a lost executor costs a reread, not a recomputation.
     """
-    path = new_path(df.sparkSession, stem)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return _write(df, new_path(df.sparkSession, stem))
+
+
+def tidy(stem: str) -> Callable[[Callable[P, DataFrame]], Callable[P, DataFrame]]:
+    """A function whose result is written, and all other tables it wrote on the way are dropped.
+
+    Its result goes in turn at the end of the ``tidy`` function that called it, if there is one.
+    """
+
+    def around(f: Callable[P, DataFrame]) -> Callable[P, DataFrame]:
+        @wraps(f)
+        def run(*args: P.args, **named: P.kwargs) -> DataFrame:
+            written: list[str] = []
+            token = _written.set(written)
+            spark = None
+            try:
+                lazy = f(*args, **named)
+                spark = lazy.sparkSession
+                _written.reset(token)
+                token = None
+                return materialize(lazy, stem)
+            finally:
+                if token is not None:
+                    _written.reset(token)
+                if written:
+                    for path in written:
+                        delete(spark or SparkSession.getActiveSession(), path)
+
+        return run
+
+    return around
+
+
+def drop(df: DataFrame) -> None:
+    """Removes the folder that a table returned by ``materialize`` or a ``tidy`` function is read from; no other."""
+    spark = df.sparkSession
+    home = scratch_dir(spark).removeprefix("file:").lstrip("/")
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if folder.removeprefix("file:").lstrip("/").startswith(home):
+            delete(spark, folder)
 
 
 class Rounds:
@@ -49,11 +118,11 @@ class Rounds:
 
     def keep(self, df: DataFrame) -> DataFrame:
         path = new_path(self.spark, self.stem)
-        df.write.parquet(path)
+        out = _write(df, path)
         if self.last is not None:
             delete(self.spark, self.last)
         self.last = path
-        return self.spark.read.schema(df.schema).parquet(path)
+        return out
 
 
 def delete(spark: SparkSession, path: str) -> None:
