@@ -6,8 +6,20 @@
 4. secrets: found secrets are masked in the text.
 5. pieces: documents become reproducibly sampled SentencePiece tokens, checked by decoding.
 
-Each stage's result is written as Parquet and reread. SQL cannot express the stages; the
-tests hold them against brute-force versions.
+Each stage's result is written as Parquet and reread, and dropped once the next stage's is written.
+All columns of the input stay up to the fourth stage, whatever their names; the last returns doc_id,
+tokens and lossless. SQL cannot express the stages; the tests hold them against brute-force versions.
+
+Defined results, by stage:
+
+- null, empty and letterless texts are rejected by the first stage; the others keep and pass on null
+  and empty texts.
+- a null doc_id is a row like any other: it is never learned from, never merged with a copy, judged
+  against the benchmark, masked and tokenised.
+- ties: of a group of near duplicates the least doc_id stays; rows that repeat a doc_id become one in
+  the second stage and are judged one by one by the others.
+- null lang, source and n_chars change nothing; n_chars follows the text where a secret was masked.
+- very long texts are read whole by every stage; an empty table gives an empty table with the same columns.
 """
 
 from __future__ import annotations
@@ -17,7 +29,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from strataline.llm import decontaminate, language_id, minhash_dedup, pieces, secrets
-from strataline.store import materialize
+from strataline.store import drop, materialize
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -57,5 +69,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the table ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        drop(before)  # the input table itself stays, since it is in another folder
     return docs
