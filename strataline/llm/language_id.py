@@ -10,8 +10,10 @@ possible. Ties go to the code-point order of n-grams and of language names.
 Texts are lower-cased; whatever is no letter is a boundary.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0, as is
-every text where nothing could be learned. Rows with null lang or a null doc_id's null
-remainder are not learned from. Empty tables give empty tables; other columns are ignored.
+every text where nothing could be learned. Rows with a null lang are not learned from, nor rows with
+a null doc_id, of which it cannot be told whether they are held out (their held_out is false).
+Repeated rows count each time they are there. Texts of any length are read whole. Empty tables give
+empty tables; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -145,7 +147,7 @@ def held_out() -> F.Column:
 
 def identify(docs: DataFrame, top: int = TOP) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score; learned from the rows that are not held out."""
-    langs, known, ranks = collected(profiles(docs.where(~held_out()), top), top)
+    langs, known, ranks = collected(profiles(docs.where(F.col("doc_id").isNotNull() & ~held_out()), top), top)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,7 +163,7 @@ def identify(docs: DataFrame, top: int = TOP) -> DataFrame:
 
 def accepted(docs: DataFrame, top: int = TOP) -> DataFrame:
     """The rows of ``docs``, all columns, whose language could be told; what is ``und`` goes."""
-    langs, known, ranks = collected(profiles(docs.where(~held_out()), top), top)
+    langs, known, ranks = collected(profiles(docs.where(F.col("doc_id").isNotNull() & ~held_out()), top), top)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from . import _hashing as H
 from ._filter import only
-from ..store import materialize
+from ..store import materialize, tidy
 from .components import connected_components, roots
 
 K, BITS = 128, 4
@@ -237,6 +237,7 @@ def _nearest_pivots(rows: DataFrame, sigs: DataFrame, percent: int, low: float)
     return materialize(_scored(pairs, sigs, percent).where(F.col("e") >= low).select("a", "b"), "minhash")
 
 
+@tidy("near-documents")
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     threshold = percent / 100

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from . import _hashing as H
 from ._batches import small_batches
 from ._filter import only
-from ..store import materialize
+from ..store import materialize, tidy
 
 WINDOW = 16
 SPAN = 7  # units, of which the least hash makes a cut
@@ -246,6 +246,7 @@ def _in_runs(rows: DataFrame) -> DataFrame:
     return rows.withColumn("run", F.sum((F.col("start") > F.coalesce("reached", F.lit(-1))).cast("long")).over(order))
 
 
+@tidy("passages")
 def repeated_passages(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS) -> DataFrame:
     """One row per repeated passage of each document."""
     start, end = F.min("start").alias("byte_start"), F.max(F.col("start") + F.col("size")).alias("byte_end")

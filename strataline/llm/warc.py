@@ -31,9 +31,11 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..store import materialize, new_path
+from ..store import materialize, new_path, tidy
 
 LEAST = 1000
+#: Digests of repeated payloads that are sent to every task at most.
+FEW_GROUPS = 300_000
 GAP, SPAN = 64 << 10, 8 << 20
 FILE_BYTES = 512 << 20
 _NAMESPACE = uuid.UUID("6c5e9d2e-7b0b-4f3a-9a52-0d6f4b8f1c77")
@@ -89,11 +91,13 @@ def _fields(head: bytes) -> Iterator[tuple[str, str]]:
 def planned(pages: DataFrame) -> DataFrame:
     """page_id, url, html, digest and refers_to (null: a response) of each page."""
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
-    # digests and sizes alone are grouped and joined; the pages meet the revisits only
+    # digests and sizes alone are grouped; pages are shuffled only if the digests that repeat are too many to send to every task
     slim = rows.select("page_id", F.sha1(F.encode("html", "UTF-8")).alias("digest"), F.octet_length("html").alias("size")).where(F.col("size") >= LEAST)
     groups = slim.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1 and refers_to is not null").select("digest", "refers_to")
     rows = rows.withColumn("digest", F.sha1(F.encode("html", "UTF-8")))
-    rows = rows.join(groups, "digest", "left")
+    groups = materialize(groups, "warc-groups")
+    few = groups.limit(FEW_GROUPS + 1).count() <= FEW_GROUPS
+    rows = rows.join(F.broadcast(groups) if few else groups, "digest", "left")
     same = F.col("page_id").eqNullSafe(F.col("refers_to"))
     return rows.select("page_id", "url", "html", "digest", F.when(~same, F.col("refers_to")).alias("refers_to"))
 
@@ -189,6 +193,7 @@ def read(index: DataFrame, folder: str) -> DataFrame:
     return sorted_.mapInArrow(fetch, RECORD)
 
 
+@tidy("warc-records")
 def archive_and_read(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """One row per page, from the archive: page_id, payload_bytes, payload_digest, record_type, refers_to."""
     folder = new_path(spark, "warc")
