@@ -1,9 +1,10 @@
 """Quality scores from supervised subword embeddings.
 
-A document's features are its words and its character n-grams (3 and 4 bytes, of the
-whole text, white space and punctuation included), hashed into buckets, one echo mark for
-each word that is the same as the 1st to 8th before it, and one mark that every text has. Each bucket has a learned vector; the mean of a document's vectors
-goes through a softmax over the two classes. Vectors and output weights are trained by
+A document's features are its words, the pairs of adjacent words, and its character n-grams (3 and 4
+bytes, of the whole text, white space and punctuation included), hashed into buckets, and one mark that
+every text has. The hash of a pair is the mixed difference of its words' hashes, so that a word which
+follows itself gives the same bucket whichever word it is. Each bucket has a learned vector; the mean
+of a document's vectors goes through a softmax over the two classes. Vectors and output weights are trained by
 stochastic gradient descent in numpy, one document a step, on at most ``max_train``
 labelled documents (those of least hash of doc_id, whole texts).
 
@@ -11,7 +12,8 @@ The output is linear in the mean vector, so scoring needs one number a bucket: i
 vector's product with the difference of the two output columns.
 
 Defined results: null and empty texts have the mark alone and get a score too. Without
-any label every score is 0.5. A doc_id that has several labels is learned with each.
+any label every score is 0.5. A doc_id that has several labels is learned with each, and repeated
+rows of a document each count as an example; a tie of the two classes is predicted as 1.
 Rows with a null doc_id are scored and count as not held out. Empty tables give empty
 tables; columns other than those named are ignored.
 """
@@ -28,10 +30,11 @@ from pyspark.sql import functions as F
 from . import _hashing as H
 from .language_id import held_out
 
-WORD_BITS, GRAM_BITS, GRAMS = 15, 16, (3, 4)
-MARK = (1 << WORD_BITS) + (1 << GRAM_BITS)
-ECHOES = 8
-BUCKETS = MARK + 1 + ECHOES
+WORD_BITS, GRAM_BITS, PAIR_BITS, GRAMS = 15, 16, 15, (3, 4)
+FIRST_GRAM = 1 << WORD_BITS
+FIRST_PAIR = FIRST_GRAM + (1 << GRAM_BITS)
+MARK = FIRST_PAIR + (1 << PAIR_BITS)
+BUCKETS = MARK + 1
 MAX_TRAIN = 4000
 DIM, EPOCHS, RATE = 8, 6, 20.0
 
@@ -41,9 +44,9 @@ def features(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.nd
     for found in H.words(data, offsets, H.EXACT):
         rows = np.repeat(np.arange(found.last - found.first, dtype=np.int32), np.diff(found.ptr))
         yield found.first, (found.hash >> H.U64(64 - WORD_BITS)).astype(np.int32), rows
-        for back in range(1, ECHOES + 1):
-            echo = np.flatnonzero((found.hash[back:] == found.hash[:-back]) & (rows[back:] == rows[:-back]))
-            yield found.first, np.full(len(echo), MARK + back, dtype=np.int32), rows[echo]
+        pair = np.flatnonzero(rows[1:] == rows[:-1])
+        h = H.mix64(found.hash[pair + 1] - found.hash[pair])
+        yield found.first, (h >> H.U64(64 - PAIR_BITS)).astype(np.int32) + FIRST_PAIR, rows[pair]
         lo, hi = int(offsets[found.first]), int(offsets[found.last])
         most = max(GRAMS)
         for at in range(lo, hi, H.PIECE):
@@ -57,7 +60,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.nd
                 start = np.arange(last - at)
                 same = row[: last - at] == row[n - 1 : last - at + n - 1]
                 h = prefix.ranges(start, start + n)
-                yield found.first, (h >> H.U64(64 - GRAM_BITS)).astype(np.int32)[same] + (1 << WORD_BITS), row[: last - at][same] - found.first
+                yield found.first, (h >> H.U64(64 - GRAM_BITS)).astype(np.int32)[same] + FIRST_GRAM, row[: last - at][same] - found.first
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

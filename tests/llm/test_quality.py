@@ -1,7 +1,10 @@
+import os
 import random
+import zlib
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from strataline.llm import _hashing as H
@@ -43,8 +46,84 @@ def test_features_by_hand(monkeypatch):
             got[first + k].append(b)
     for text, mine in zip(texts, got):
         raw = text.encode()
-        want = [int(H.Prefix(np.frombuffer(g, np.uint8), H.EXACT).ranges(np.array([0]), np.array([len(g)]))[0] >> H.U64(64 - Q.GRAM_BITS)) + (1 << Q.WORD_BITS) for n in Q.GRAMS for g in (raw[k : k + n] for k in range(len(raw) - n + 1))]
+        want = [int(H.Prefix(np.frombuffer(g, np.uint8), H.EXACT).ranges(np.array([0]), np.array([len(g)]))[0] >> H.U64(64 - Q.GRAM_BITS)) + Q.FIRST_GRAM for n in Q.GRAMS for g in (raw[k : k + n] for k in range(len(raw) - n + 1))]
         want += [int(H.Prefix(np.frombuffer(w, np.uint8), H.EXACT).ranges(np.array([0]), np.array([len(w)]))[0] >> H.U64(64 - Q.WORD_BITS)) for w in raw.split()]
-        words = raw.split()
-        want += [Q.MARK + back for back in range(1, Q.ECHOES + 1) for a, b in zip(words, words[back:]) if a == b]
+        hashes = [H.Prefix(np.frombuffer(w, np.uint8), H.EXACT).ranges(np.array([0]), np.array([len(w)])) for w in raw.split()]
+        want += [int(H.mix64(b - a)[0] >> H.U64(64 - Q.PAIR_BITS)) + Q.FIRST_PAIR for a, b in zip(hashes, hashes[1:])]
         assert sorted(mine) == sorted(want)
+
+
+def plain(examples, dim=Q.DIM, epochs=Q.EPOCHS, rate=Q.RATE):
+    """The same descent on dense vectors in double precision, one document a step."""
+    rng = np.random.default_rng(17)
+    vectors = rng.uniform(-1 / dim, 1 / dim, (Q.BUCKETS, dim))
+    output = np.zeros((dim, 2))
+    shares = np.zeros((len(examples), Q.BUCKETS))
+    for k, (bucket, n, _) in enumerate(examples):
+        shares[k, bucket] = n / n.sum()
+    done = 0
+    for _ in range(epochs):
+        for i in rng.permutation(len(examples)):
+            step = rate * (1 - done / (epochs * len(examples)))
+            done += 1
+            mean = shares[i] @ vectors
+            p = np.exp(mean @ output - (mean @ output).max())
+            p = p / p.sum() - np.eye(2)[examples[i][2]]
+            vectors, output = vectors - step * np.outer(shares[i], output @ p), output - min(step, 1.0) * np.outer(mean, p)
+    return vectors @ (output[:, 1] - output[:, 0])
+
+
+def auc(scores, labels):
+    good, bad = ([s for s, q in zip(scores, labels) if q == k] for k in (1, 0))
+    return np.mean([(a > b) + (a == b) / 2 for a in good for b in bad])
+
+
+def counted(text):
+    total = np.zeros(Q.BUCKETS, dtype=np.int64)
+    total[Q.MARK] = 1
+    for _, bucket, _ in Q.features(*H.buffers(pa.array([text]))):
+        np.add.at(total, bucket, 1)
+    some = np.flatnonzero(total)
+    return some, total[some]
+
+
+def test_against_a_plain_version(spark):
+    r = random.Random(6)
+    words = [f"w{k}" for k in range(80)]
+    # labels by halves, so that no constant does better than chance: junk repeats words, whichever
+    rows = [(k, " ".join(w for _ in range(12) for w in [r.choice(words)] * (1 if k % 2 else r.randint(2, 5)))) for k in range(90)]
+    rows += [(300, None), (301, "w1 w1")]
+    marks = [(k, k % 2) for k in range(90)] + [(6, 1)]
+    docs, labels = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(marks, "doc_id bigint, quality int")
+    texts = dict(rows)
+    order = [x.doc_id for x in docs.select("doc_id").distinct().orderBy(Q.F.xxhash64("doc_id"), "doc_id").collect()]
+    seen = [(*counted(texts[d]), q) for d in order for k, q in sorted(marks) if k == d and zlib.crc32(str(d).encode()) % 3 != 1]
+    weight = plain(seen)
+    got = {x.doc_id: x for x in Q.score(docs, labels).collect()}
+    for d, text in rows:
+        bucket, n = counted(text)
+        want = 1 / (1 + np.exp(-np.clip(weight[bucket] @ n / n.sum(), -30, 30)))
+        assert abs(got[d].score - want) < 1e-3 and got[d].predicted == int(got[d].score >= 0.5)
+    held = [(got[k].score, k % 2) for k in range(90) if got[k].held_out]
+    assert auc(*zip(*held)) > 0.95
+
+
+def test_held_out_rows_of_the_tables(spark):
+    data = "/root/testdata/sf0.01"
+    if not os.path.isdir(data):
+        pytest.skip("no test tables")
+    marks = spark.read.parquet(f"{data}/labels.parquet")
+    got = {x.doc_id: x for x in Q.score(spark.read.parquet(f"{data}/documents.parquet"), marks).collect()}
+    held = [(got[m.doc_id].score, m.quality) for m in marks.collect() if m.doc_id in got and got[m.doc_id].held_out]
+    assert auc(*zip(*held)) > 0.97
+    right = [np.mean([(s >= 0.5) == q for s, q in held if q == k]) for k in (0, 1)]
+    assert np.mean(right) > 0.9  # a constant has 0.5
+
+
+def test_ties_repeats_and_long_texts(spark):
+    long = "good words stand here " * 50000
+    docs = spark.createDataFrame([(1, "a"), (1, "a"), (2, long), (3, long + "### ### "), (None, "a")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (1, 1), (2, 1), (9, 0)], "doc_id bigint, quality int")
+    got = Q.score(docs, labels).collect()
+    assert len(got) == 5 and len({x.score for x in got if x.doc_id in (1, None)}) == 1 and all(0 <= x.score <= 1 for x in got)
+    assert {x.score for x in Q.score(docs, labels.limit(0)).collect()} == {0.5} and {x.predicted for x in Q.score(docs, labels.limit(0)).collect()} == {1}

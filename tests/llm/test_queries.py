@@ -69,6 +69,8 @@ def test_op4_and_op10_on_held_out_rows(spark):
     assert {r.doc_id for r in scored} == set(docs)
     right = [r.predicted == quality[r.doc_id] for r in scored if r.held_out and r.doc_id in quality]
     assert np.mean(right) > 0.85
+    by_label = [[r.predicted == q for r in scored if r.held_out and quality.get(r.doc_id) == q] for q in (0, 1)]
+    assert np.mean([np.mean(x) for x in by_label if x]) > 0.85  # a constant has 0.5 where both labels are there
 
 
 def test_op5_base_spans(spark):
