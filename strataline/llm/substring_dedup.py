@@ -16,7 +16,7 @@ documents hold it. Adjacent repeated windows make a passage. No list of partners
 cut short, and adjacent repeats from different documents are not taken for one.
 
 Digests of chunks and of windows are aggregated (first and last document) before the shuffle; a
-digest that is everywhere costs one row a task. The joins back are on the digest and may be split.
+digest that is everywhere costs one row a task, and its rows are salted in the join back.
 
 Result rows: doc_id, byte_start, byte_end (of the UTF-8 text), n_words, first_doc_id
 (where most of the passage's windows stand first; ties: the least) and duplicate (it is not
@@ -232,10 +232,24 @@ def _rows(batch: pa.RecordBatch, *columns: str) -> Iterator[tuple]:
     return (tuple(x.as_py() for x in row) for row in zip(*(batch.column(c) for c in columns)))
 
 
+#: A digest of more than this share of all rows is dealt over ``SALTS`` tasks; there are at most as many as go into one.
+HOT_SHARE, SALTS = 1 / 5000, 64
+
+
 def _repeated(pieces: DataFrame) -> DataFrame:
-    """The rows whose digest stands in two or more documents, with the first of them."""
-    held = pieces.groupBy("digest").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last_doc_id")).where("first_doc_id <> last_doc_id")
-    return pieces.join(held.drop("last_doc_id"), "digest")
+    """The rows whose digest stands in two or more documents, with the first of them.
+
+    The digests' first and last documents are aggregated before the shuffle. What is joined back with them
+    is dealt by digest, and rows of the few digests that stand nearly everywhere by digest and a salt.
+    """
+    held = pieces.groupBy("digest").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last_doc_id"), F.count(F.lit(1)).alias("n")).where("first_doc_id <> last_doc_id")
+    held = materialize(held.select("digest", "first_doc_id", "n"), "digests")
+    total = held.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    hot = F.col("n") > total * HOT_SHARE
+    salts = F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    few = held.where(hot).select("digest", F.lit(True).alias("hot"))  # of at most 1 / HOT_SHARE digests can this be true
+    dealt = pieces.join(F.broadcast(few), "digest", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id", "place"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))).drop("hot")
+    return dealt.join(held.select("digest", "first_doc_id", F.explode(salts).alias("salt")), ["digest", "salt"]).drop("salt")
 
 
 def _in_runs(rows: DataFrame) -> DataFrame:

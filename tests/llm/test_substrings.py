@@ -1,8 +1,10 @@
+import os
 import random
 import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from strataline.llm import _hashing as H
@@ -124,3 +126,51 @@ def test_neighbouring_short_repeats_are_no_passage(spark):
     rows = [(1, f"{text(r, 5)} x{solid}"), (2, f"{solid}y {text(r, 5)}")]
     got = S.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     assert {g.doc_id for g in got} == {1, 2} and all(50 <= g.n_words <= 56 for g in got)
+
+
+def passages(rows, n=50):
+    """(doc_id, byte_start, byte_end, n_words, first_doc_id) by comparing all windows of n whole words."""
+    held, mine = {}, {}
+    for k, t in rows:
+        at = [(len(t[: m.start()].encode()), len(t[: m.end()].encode()), m.start(), m.end()) for m in re.finditer(r"[^ \t-\r]+", t)]
+        mine[k] = [(a[0], b[1], i, t[a[2] : b[3]]) for i, (a, b) in enumerate(zip(at, at[n - 1 :]))]
+        for *_, words in mine[k]:
+            held.setdefault(words, set()).add(k)
+    out = set()
+    for k, found in mine.items():
+        run = []
+        for start, end, i, words in [x for x in found if len(held[x[3]]) > 1] + [(1 << 60, 0, 0, "")]:
+            if run and start > run[-1][1]:
+                first = [min(held[w]) for *_, w in run]
+                out.add((k, run[0][0], run[-1][1], run[-1][2] - run[0][2] + n, min(first, key=lambda d: (-first.count(d), d))))
+                run = []
+            run.append((start, end, i, words))
+    return out
+
+
+@pytest.mark.parametrize("hot", [1 / 5000, 1e-9])
+def test_passages_against_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(S, "HOT_SHARE", hot)  # with and without salted digests
+    r = random.Random(31)
+    stock = [text(r, r.randint(30, 90)) for _ in range(12)]
+    line = text(r, 9)
+    rows = [(k, " ".join(x for _ in range(3) for x in (text(r, r.randint(0, 30)), r.choice(stock), r.choice([line, "é ü"]))).strip()) for k in range(60)]
+    got = S.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {(g.doc_id, g.byte_start, g.byte_end, g.n_words, g.first_doc_id) for g in got} == passages(rows)
+    assert all(g.duplicate == (g.doc_id != g.first_doc_id) for g in got)
+
+
+def test_a_stock_of_phrases_is_no_passage(spark):
+    r = random.Random(32)
+    stock = [text(r, 9) for _ in range(300)]
+    rows = [(k, " ".join(r.choice(stock) for _ in range(30))) for k in range(300)]
+    assert not passages(rows) and S.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).count() == 0
+
+
+def test_query_against_brute_force(spark):
+    data = "/root/testdata/sf0.001"
+    if not os.path.isdir(data):
+        pytest.skip("no test tables")
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    got = {(g.doc_id, g.byte_start, g.byte_end, g.n_words, g.first_doc_id) for g in S.repeated_passages(docs).collect()}
+    assert got == passages([(d.doc_id, d.text) for d in docs.collect()]) and got
