@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from . import session
 from .operators import components, integrations
-from .operators.usage import rolled_up
+from .operators.usage import first_parents, rolled_up
 from .plans.graph import Graph, Model
 from .sources import csharp, files, graph_json, settings
 from .store import materialize
@@ -33,8 +33,9 @@ class Snapshot:
 
     def usage(self) -> DataFrame:
         """level, node_id, candidates: what methods use, rolled up to types, namespaces and projects."""
-        contains = self.graph.contains().select(F.col("child_id").alias("child"), F.col("parent_id").alias("parent"))
-        contains = contains.groupBy("child").agg(F.min("parent").alias("parent"))
+        # edges that keep no order count by their names
+        order = F.col("position") if "position" in self.graph.edges.columns else F.lit(0).alias("position")
+        contains = first_parents(self.graph.edges.where("kind = 'Contains'").select(F.col("from_id").alias("parent_id"), F.col("to_id").alias("child_id"), order))
         use = integrations.usage(self.candidates).select("node_id", "candidate_id")
         of_types = use.join(self.graph.of_kind("Type").select(F.col("id").alias("node_id")), "node_id", "left_semi")
         rows = rolled_up(use, [contains] * 3)
@@ -58,13 +59,20 @@ def snapshot(graph: Graph, signals: DataFrame | None = None, profile: str | None
 
 
 def analyze(spark: SparkSession, path: str | None = None, repo_url: str | None = None, profile: str | None = "work", exclude: tuple[str, ...] = files.DEFAULT_EXCLUDES) -> Snapshot:
-    """A source tree, an exported ``.json`` graph, or a repository to clone."""
+    """A source tree, a solution or project (its folder), an archive, an exported ``.json`` graph, or a repository to clone (``owner/repo`` too)."""
     files.check_request(path, repo_url)
     session.prepare(spark)
     integrations.profile(profile)
+    path, repo_url = files.meant(spark, path, repo_url)
     if repo_url:
         with files.workdir() as folder:
             return _tree(spark, files.clone(repo_url, os.path.join(folder, "repo")), profile, exclude)
+    if path.lower().endswith(".zip") and os.path.isfile(path):
+        with files.workdir() as folder, open(path, "rb") as archive:
+            files.unzip(archive.read(), folder)
+            inside = os.listdir(folder)  # archives of repositories hold one folder
+            root = os.path.join(folder, inside[0]) if len(inside) == 1 and os.path.isdir(os.path.join(folder, inside[0])) else folder
+            return _tree(spark, root, profile, exclude)
     if path.lower().endswith(".json"):
         return snapshot(graph_json.read(spark, path), profile=profile)
     return _tree(spark, path, profile, exclude)
@@ -81,6 +89,7 @@ def _tree(spark: SparkSession, root: str, profile: str | None, exclude: tuple[st
         raise NotImplementedError(f"no adapter reads {language['language']}")
     texts = files.texts(every.where(F.lower("path").endswith(".cs")))
     projects = every.where(F.lower("path").endswith(".csproj")).select(F.col("path").alias("project"))
+    files.check_loaded(projects.limit(1).count() + texts.limit(1).count(), ["no project and no source file"], root)
     graph = csharp.tree_graph(texts, projects, os.path.basename(os.path.abspath(root)))
     graph = Graph(materialize(graph.nodes, "nodes"), materialize(graph.edges, "edges"))
     tag = F.lit("").alias("snapshot_id")

@@ -93,37 +93,37 @@ ns_edges as (
 
 
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """State transitions of users: (src, dst) between ``user-event_type`` nodes, for events of value 80 or more."""
-    events = table(spark, sf_dir, "events").select("user_id", "event_type", "ts", "event_id", "value")
+    """State transitions of users: (src, dst) between ``user-event_type`` nodes, for all events."""
+    events = table(spark, sf_dir, "events").select("user_id", "event_type", "ts", "event_id")
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
     node = F.concat_ws("-", F.col("user_id").cast("string"), "event_type")
-    rows = events.select(node.alias("src"), F.lead(node).over(order).alias("dst"), "value")
-    return rows.where("value >= 80 and dst is not null and src <> dst").select("src", "dst").distinct()
+    rows = events.select(node.alias("src"), F.lead(node).over(order).alias("dst"))
+    return rows.where("dst is not null and src <> dst").select("src", "dst").distinct()
 
 
 SESSIONS_SQL = """
 with recursive steps as (
-    select user_id || '-' || event_type as src, lead(user_id || '-' || event_type) over (partition by user_id order by ts, event_id) as dst, value from events),
-e as (select distinct src, dst from steps where value >= 80 and dst is not null and src <> dst)
+    select user_id || '-' || event_type as src, lead(user_id || '-' || event_type) over (partition by user_id order by ts, event_id) as dst from events),
+e as (select distinct src, dst from steps where dst is not null and src <> dst)
 """
 
 
-def order_flow(spark: SparkSession, sf_dir: str, least: float = 498000.0) -> DataFrame:
-    """Nation-to-nation steps between following orders of one priority and status, for dear orders."""
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus", "o_orderdate", "o_totalprice")
+def order_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nation-to-nation steps between following orders of one priority and status, for all orders."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus", "o_orderdate")
     rows = orders.join(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
     rows = rows.join(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), F.col("c_nationkey") == F.col("n_nationkey"))
     # months are in the partition, so that no few groups hold all orders
     order = Window.partitionBy("o_orderpriority", "o_orderstatus", F.month("o_orderdate"), F.year("o_orderdate")).orderBy("o_orderdate", "o_orderkey")
-    rows = rows.select(F.col("n_name").alias("src"), F.lead("n_name").over(order).alias("dst"), "o_totalprice")
-    return rows.where((F.col("o_totalprice") >= least) & F.col("dst").isNotNull() & (F.col("src") != F.col("dst"))).select("src", "dst").distinct()
+    rows = rows.select(F.col("n_name").alias("src"), F.lead("n_name").over(order).alias("dst"))
+    return rows.where(F.col("dst").isNotNull() & (F.col("src") != F.col("dst"))).select("src", "dst").distinct()
 
 
 ORDER_FLOW_SQL = """
 with recursive steps as (
-    select n_name as src, lead(n_name) over (partition by o_orderpriority, o_orderstatus, month(o_orderdate), year(o_orderdate) order by o_orderdate, o_orderkey) as dst, o_totalprice
+    select n_name as src, lead(n_name) over (partition by o_orderpriority, o_orderstatus, month(o_orderdate), year(o_orderdate) order by o_orderdate, o_orderkey) as dst
     from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey),
-e as (select distinct src, dst from steps where o_totalprice >= 498000 and dst is not null and src <> dst)
+e as (select distinct src, dst from steps where dst is not null and src <> dst)
 """
 
 CYCLES_SQL = """,

@@ -146,21 +146,18 @@ def http_endpoint(value: Column) -> Column:
     return F.coalesce(absolute_endpoint(value), absolute_endpoint(F.concat(F.lit("http://"), value)), value)
 
 
-def storage_endpoint(value: Column) -> Column:
-    return F.coalesce(absolute_endpoint(value), value)
-
-
 def endpoint_host(value: Column) -> Column:
     return F.coalesce(F.try_parse_url(http_endpoint(value), F.lit("HOST")), F.lit(""))
 
 
+# Lower-case hosts that are internal, beside those without a dot.
+INTERNAL_HOST = r"^(localhost$|127\.|10\.|192\.168\.|172\.(1[6-9]|2[0-9]|3[01])\.)|\.(local|svc|cluster\.local|internal|localdomain)$"
+
+
 def internal_host(host: Column) -> Column:
-    """Loopback, private ranges, cluster suffixes, or a name without a dot."""
+    """Loopback, private ranges, cluster suffixes, or a name without a dot; no name is none."""
     h = F.lower(host)
-    return (h != "") & (
-        h.rlike(r"^(localhost$|127\.|10\.|192\.168\.|172\.(1[6-9]|2[0-9]|3[01])\.)")
-        | h.rlike(r"\.(local|svc|cluster\.local|internal|localdomain)$")
-        | ~h.contains("."))
+    return (h != "") & (h.rlike(INTERNAL_HOST) | ~h.contains("."))
 
 
 def http_scope(key: Column, endpoint: Column) -> Column:
@@ -170,10 +167,15 @@ def http_scope(key: Column, endpoint: Column) -> Column:
             .when(host == "", F.lit(None).cast("string")).when(internal_host(host), "internal").otherwise("external"))
 
 
+# Settings whose values are secret, and passwords before a host.
+SECRET_SETTING = r"(?i)(^|[;,&?\s\"'])(Password|Pwd|SharedAccessKey|AccountKey|Key|Secret|Token|SharedAccessSignature)(\s*=\s*)(?!=)(\"[^\"]*\"|'[^']*'|[^;,&\s]+)"
+HOST_PASSWORD = r"(?i)([a-z][a-z0-9+.-]*://[^:/@\s]+):[^@/\s]+@"
+
+
 def redact(value: Column) -> Column:
-    """Values of secret settings, and passwords before a host, become ``***``."""
-    out = F.regexp_replace(value, r"(?i)(^|[;,&?\s\"'])(Password|Pwd|SharedAccessKey|AccountKey|Key|Secret|Token|SharedAccessSignature)(\s*=\s*)(?!=)(\"[^\"]*\"|'[^']*'|[^;,&\s]+)", "$1$2$3***")
-    return F.regexp_replace(out, r"(?i)([a-z][a-z0-9+.-]*://[^:/@\s]+):[^@/\s]+@", "$1:***@")
+    """Values of secret settings, and passwords before a host, become ``***``; texts without ``=`` or ``://`` are not searched."""
+    out = F.when(F.contains(value, F.lit("=")), F.regexp_replace(value, SECRET_SETTING, "$1$2$3***")).otherwise(value)
+    return F.when(F.contains(value, F.lit("://")), F.regexp_replace(out, HOST_PASSWORD, "$1:***@")).otherwise(out)
 
 
 # Languages by file extension.

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..store import Rounds, materialize
+from ..store import Rounds, materialize, tidy
 
 #: Edges of a weakly connected component that one task may solve.
 SMALL = 200_000
@@ -98,71 +98,101 @@ def trimmed(edges: DataFrame, rounds: int = 3) -> DataFrame:
     return edges
 
 
+@tidy("strong")
 def strongly_connected(edges: DataFrame, small: int = SMALL) -> DataFrame:
     """``edges`` (src, dst) -> (node, root): root is the least node of a component of two or more.
 
-    What is left after trimming falls into weakly connected parts. Parts of at most
-    ``small`` edges are solved whole, one group each; larger ones by rounds of colours.
+    A graph of at most ``small`` edges is solved whole by one task. Of a larger one, what is left after
+    trimming falls into weakly connected parts; parts of at most ``small`` edges are solved whole, one
+    group each, larger ones by rounds of colours.
     """
-    work = materialize(trimmed(edges.where("src <> dst").select("src", "dst").distinct()), "scc")
-    parts = materialize(connected_components(work.select(F.col("src").alias("a"), F.col("dst").alias("b"))), "scc")
-    work = work.join(parts.withColumnRenamed("node", "src"), "src")
-    size = work.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    work = materialize(work.join(size, "component"), "scc")
+    work = materialize(edges.where("src <> dst").select("src", "dst").distinct(), "scc")
     kind = dict(work.dtypes)["src"]
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         found = tarjan(zip(pdf["src"], pdf["dst"]))
         return pd.DataFrame([(node, min(part)) for part in found for node in part], columns=["node", "root"])
 
-    out = work.where(F.col("n") <= small).groupBy("component").applyInPandas(solve, f"node {kind}, root {kind}")
+    def solved(parts: DataFrame) -> DataFrame:
+        return parts.groupBy("component").applyInPandas(solve, f"node {kind}, root {kind}")
+
+    if work.limit(small + 1).count() <= small:
+        return solved(work.coalesce(1).withColumn("component", F.lit(0)))
+    work = materialize(trimmed(work), "scc")
+    parts = materialize(connected_components(work.select(F.col("src").alias("a"), F.col("dst").alias("b"))), "scc")
+    work = work.join(parts.withColumnRenamed("node", "src"), "src")
+    size = work.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    work = materialize(work.join(size, "component"), "scc")
+    out = solved(work.where(F.col("n") <= small))
     large = work.where(F.col("n") > small).select("src", "dst")
     if not large.isEmpty():
         out = out.unionByName(coloured(large))
     return out
 
 
+@tidy("reached")
+def least_reaching(edges: DataFrame, nodes: DataFrame, rounds: int = 10_000) -> DataFrame:
+    """(node, least): the least of the ``nodes`` (node) that reach each node along ``edges`` (src, dst), itself included.
+
+    Each round pushes what is known one step along the edges, then twice takes over what is known of the
+    node found so far: whatever reaches that reaches this one. With numbers in random order a path of n
+    steps is crossed in a small multiple of log n rounds.
+    """
+    tables = Rounds(edges.sparkSession, "reached")
+    known = tables.keep(nodes.select("node", F.col("node").alias("least"), F.lit(True).alias("moved")))
+    for _ in range(rounds):
+        pushed = edges.join(known.select(F.col("node").alias("src"), "least"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("least").alias("pushed"))
+        step = known.select("node", F.col("least").alias("old")).join(pushed, "node", "left").withColumn("near", F.least("old", "pushed"))
+        # jumps go by what was known before the push, which is right at any time
+        for _ in range(2):
+            step = step.join(known.select(F.col("node").alias("near"), F.col("least").alias("far")), "near").select("node", "old", F.least("near", "far").alias("near"))
+        known = tables.keep(step.select("node", F.col("near").alias("least"), (F.col("near") < F.col("old")).alias("moved")))
+        if known.where("moved").isEmpty():
+            return known.select("node", "least")
+    raise RuntimeError("reachability did not settle")
+
+
+@tidy("coloured")
 def coloured(edges: DataFrame, rounds: int = 10_000) -> DataFrame:
-    """Strongly connected components of one large part, by forward colours and backward reach.
+    """Strongly connected components of large parts, by forward colours and backward reach.
 
-    Each round gives every node the least node that reaches it, then keeps, from each
-    colour's first node backward, the nodes of its colour: those are its component.
+    Each round gives every node the least node that reaches it, its colour. A component that holds the
+    least node of its colour is that of the colour's nodes which reach that node, and the way there is
+    through nodes of the colour. Those components are done; edges between colours are in none.
     """
-    done = None
-    left = materialize(edges.distinct(), "scc")
+    spark = edges.sparkSession
+    left = Rounds(spark, "left")
+    done: list[DataFrame] = []
+    # nodes get numbers in random order, and the least number of a component is its name until the end
+    names = edges.select(F.col("src").alias("name")).unionByName(edges.select(F.col("dst").alias("name"))).distinct()
+    names = names.repartition(F.xxhash64("name")).sortWithinPartitions(F.xxhash64("name", F.lit(3)))
+    names = materialize(names.withColumn("number", F.monotonically_increasing_id()), "names")
+    rest = edges.distinct().join(names.toDF("src", "s"), "src").join(names.toDF("dst", "d"), "dst")
+    rest = left.keep(rest.select(F.col("s").alias("src"), F.col("d").alias("dst")))
     for _ in range(rounds):
-        left = materialize(trimmed(left, 1), "scc")
-        if left.isEmpty():
+        rest = left.keep(trimmed(rest, 1))
+        if rest.isEmpty():
             break
-        nodes = left.select(F.col("src").alias("node")).unionByName(left.select(F.col("dst").alias("node"))).distinct()
-        colour = materialize(nodes.withColumn("colour", F.col("node")), "scc")
-        while True:
-            pushed = left.join(colour.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("c"))
-            new = materialize(colour.join(pushed, "node", "left").select("node", F.least("colour", "c").alias("colour"), (F.col("c") < F.col("colour")).alias("moved")), "scc")
-            moved = not new.where("moved").isEmpty()
-            colour = new.select("node", "colour")
-            if not moved:
-                break
-        inside = left.join(colour.select(F.col("node").alias("src"), F.col("colour").alias("cs")), "src").join(colour.select(F.col("node").alias("dst"), F.col("colour").alias("cd")), "dst").where("cs = cd")
-        inside = materialize(inside.select("src", "dst", F.col("cs").alias("colour")), "scc")
-        reach = materialize(colour.where("node = colour"), "scc")
-        front = reach
-        while True:
-            back = inside.join(front.select(F.col("node").alias("dst")), "dst").select(F.col("src").alias("node"), "colour").distinct()
-            front = materialize(back.join(reach, ["node", "colour"], "left_anti"), "scc")
-            if front.isEmpty():
-                break
-            reach = materialize(reach.unionByName(front), "scc")
-        done = reach if done is None else done.unionByName(reach)
-        left = materialize(left.join(reach.select(F.col("node").alias("src")), "src", "left_anti").join(reach.select(F.col("node").alias("dst")), "dst", "left_anti"), "scc")
+        nodes = rest.select(F.col("src").alias("node")).unionByName(rest.select(F.col("dst").alias("node"))).distinct()
+        colour = least_reaching(rest, nodes)
+        inside = rest.join(colour.select(F.col("node").alias("src"), F.col("least").alias("cs")), "src").join(colour.select(F.col("node").alias("dst"), F.col("least").alias("cd")), "dst")
+        inside = materialize(inside.where("cs = cd").select("src", "dst"), "inside")
+        back = least_reaching(inside.select(F.col("dst").alias("src"), F.col("src").alias("dst")), nodes)
+        found = colour.withColumnRenamed("least", "root").join(back.withColumnRenamed("least", "reaches"), "node").where("root = reaches").select("node", "root")
+        done.append(materialize(found, "coloured"))
+        rest = left.keep(inside.join(done[-1].select(F.col("node").alias("src")), "src", "left_anti").join(done[-1].select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst"))
     else:
         raise RuntimeError("strongly connected components did not settle")
-    sizes = done.groupBy("colour").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("colour")
-    return done.join(sizes, "colour").select("node", F.col("colour").alias("root"))
+    if not done:
+        return edges.select(F.col("src").alias("node"), F.col("src").alias("root")).limit(0)
+    every = spark.read.schema(done[0].schema).parquet(*(f for d in done for f in d.inputFiles()))
+    named = every.join(names.toDF("name", "node"), "node")
+    roots = named.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.min("name").alias("least")).where("n > 1").select("root", "least")
+    return named.join(roots, "root").select(F.col("name").alias("node"), F.col("least").alias("root"))
 
 
 def cycles(edges: DataFrame, scope: str) -> DataFrame:
-    """scope, root, size, members (sorted, comma-joined) of each cycle group."""
+    """scope, root, size, members (sorted, comma-joined) of each cycle group; a row holds the names of one component."""
     found = strongly_connected(edges)
     rows = found.groupBy("root").agg(F.count(F.lit(1)).alias("size"), F.array_join(F.array_sort(F.collect_set("node")), ",").alias("members"))
     return rows.select(F.lit(scope).alias("scope"), "root", "size", "members")

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from ..schema import EVIDENCE_KINDS
 
 
+#: Rows of a rule table at most: it goes to every task.
+MAX_RULES = 10_000
+
+
 def clip(x: Column, low: Column, high: Column) -> Column:
     return F.least(high, F.greatest(low, x))
 
@@ -64,9 +68,11 @@ def distinct_evidence(evidence: DataFrame, key: str) -> DataFrame:
 def first_match(signals: DataFrame, text: str, rules: DataFrame, keys: list[str]) -> DataFrame:
     """The least-priority rule whose pattern stands in ``text``, whatever the case.
 
-    ``rules`` (priority, pattern, technology) is a fixed table of a few hundred rows, so it
-    is sent to every task; the substring test is the join's condition.
+    ``rules`` (priority, pattern, technology) is sent to every task, so more than ``MAX_RULES``
+    are refused; the substring test is the join's condition.
     """
+    if rules.limit(MAX_RULES + 1).count() > MAX_RULES:
+        raise ValueError(f"more than {MAX_RULES} rules")
     lowered = signals.withColumn("_text", F.lower(F.col(text)))
     hits = lowered.join(F.broadcast(rules.select("priority", F.lower("pattern").alias("_pattern"), "technology")), F.expr("contains(_text, _pattern)"))
     return hits.groupBy(*keys).agg(F.min_by("technology", "priority").alias("technology"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import CONNECTION_RULES
+from ..functions.text import CONNECTION_RULES, HOST_PASSWORD, INTERNAL_HOST, SECRET_SETTING
 from ..schema import EVIDENCE_KINDS
 
 Rules = tuple[tuple[str, tuple[str, ...]], ...]
@@ -39,8 +39,7 @@ def redacted(value: str | None) -> str | None:
     """Values of secret settings, and passwords before a host, become ``***``."""
     if value is None:
         return None
-    value = re.sub(r"(?i)(^|[;,&?\s\"'])(Password|Pwd|SharedAccessKey|AccountKey|Key|Secret|Token|SharedAccessSignature)(\s*=\s*)(?!=)(\"[^\"]*\"|'[^']*'|[^;,&\s]+)", r"\1\2\3***", value)
-    return re.sub(r"(?i)([a-z][a-z0-9+.-]*://[^:/@\s]+):[^@/\s]+@", r"\1:***@", value)
+    return re.sub(HOST_PASSWORD, r"\1:***@", re.sub(SECRET_SETTING, r"\1\2\3***", value))
 
 
 def logical_id(name: str | None) -> str:
@@ -82,7 +81,7 @@ def http_endpoint(value: str) -> str:
 
 def internal_host(host: str) -> bool:
     h = host.lower()
-    return bool(re.match(r"(localhost$|127\.|10\.|192\.168\.|172\.(1[6-9]|2\d|3[01])\.)", h) or re.search(r"\.(local|svc|internal|localdomain)$", h) or "." not in h)
+    return h != "" and (bool(re.search(INTERNAL_HOST, h)) or "." not in h)
 
 
 # --- configuration rules -------------------------------------------------------------------

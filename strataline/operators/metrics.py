@@ -149,7 +149,9 @@ def summary(model: Model) -> DataFrame:
 
 
 def project_counts(model: Model) -> DataFrame:
-    """Namespaces, types and methods by project, by containment."""
+    """Namespaces, types and methods by project, by containment; where the model knows its edges, repeated ones count again."""
+    if model.counts is not None:
+        return model.projects.join(model.counts, "project_id", "left").select("project_id", F.col("name").alias("project"), *map(_zero, ("namespaces", "types", "methods")))
     spaces = model.namespaces.groupBy("project_id").agg(F.count(F.lit(1)).alias("namespaces"))
     types = model.types.groupBy("project_id").agg(F.count(F.lit(1)).alias("types"))
     methods = model.methods.select("type_id").join(model.types.select("type_id", "project_id"), "type_id").groupBy("project_id").agg(F.count(F.lit(1)).alias("methods"))

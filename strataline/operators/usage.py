@@ -24,8 +24,3 @@ def rolled_up(use: DataFrame, up: list[DataFrame]) -> DataFrame:
 def first_parents(contains: DataFrame) -> DataFrame:
     """(child, parent): of several parents the one whose edge stands first (``position``)."""
     return contains.groupBy(F.col("child_id").alias("child")).agg(F.min_by("parent_id", F.struct("position", "parent_id")).alias("parent"))
-
-
-def allowed(use: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Usage of the candidates that are left."""
-    return use.join(candidates.select(F.col("id").alias("candidate_id")), "candidate_id", "left_semi")

@@ -29,6 +29,8 @@ class Model:
     methods: DataFrame
     type_edges: DataFrame
     all_methods: DataFrame | None = None
+    #: project_id, namespaces, types, methods counted along every containment edge, repeated ones each time; None: as often as the tables hold them.
+    counts: DataFrame | None = None
 
     def namespace_edges(self) -> DataFrame:
         """The quotient of the type edges by the namespace in their names, without loops."""
@@ -46,6 +48,17 @@ class Graph:
     def contains(self) -> DataFrame:
         return self.edges.where("kind = 'Contains'").select(F.col("from_id").alias("parent_id"), F.col("to_id").alias("child_id")).distinct()
 
+    def counts(self) -> DataFrame:
+        """project_id and what it holds, along containment edges as they stand: a repeated edge counts again."""
+        edges = self.edges.where("kind = 'Contains'").groupBy(F.col("from_id").alias("parent"), F.col("to_id").alias("child")).agg(F.count(F.lit(1)).alias("m"))
+        reached = self.of_kind("Project").select(F.col("id").alias("project_id"), F.col("id").alias("parent"), F.lit(1).cast("bigint").alias("ways"))
+        out = reached.select("project_id")
+        for kind, name in (("Namespace", "namespaces"), ("Type", "types"), ("Method", "methods")):
+            below = reached.join(edges, "parent").join(self.of_kind(kind).select(F.col("id").alias("child")), "child", "left_semi")
+            reached = below.groupBy("project_id", F.col("child").alias("parent")).agg(F.sum(F.col("ways") * F.col("m")).alias("ways"))
+            out = out.join(reached.groupBy("project_id").agg(F.sum("ways").alias(name)), "project_id", "left")
+        return out
+
     def of_kind(self, kind: str) -> DataFrame:
         return self.nodes.where(F.col("kind") == kind)
 
@@ -71,7 +84,7 @@ class Graph:
         edges = self.edges.where("kind = 'ReferencesType'").select("from_id", "to_id")
         edges = edges.join(named.select(F.col("id").alias("from_id"), F.col("name").alias("src")), "from_id")
         edges = edges.join(named.select(F.col("id").alias("to_id"), F.col("name").alias("dst")), "to_id").select("src", "dst").distinct()
-        return Model(projects, namespaces, namespaces.select("project_id", "ns_id").join(types, "ns_id"), methods, edges, self.of_kind("Method").select(F.col("id").alias("method_id")))
+        return Model(projects, namespaces, namespaces.select("project_id", "ns_id").join(types, "ns_id"), methods, edges, self.of_kind("Method").select(F.col("id").alias("method_id")), self.counts())
 
 
 MARK = "|"

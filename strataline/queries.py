@@ -431,12 +431,19 @@ def integration_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("snapshot_id", "id", "technology", "logical_name", "endpoint", F.round("confidence", 6).alias("confidence"))
 
 
-@register("integration_detection")
+# The call that stands for an order's priority, and the candidate it makes with its technology.
+PRIORITY_CALLS = (
+    ("1-URGENT", "X.UseSqlServer", "ext:database:default", "SqlServer"), ("2-HIGH", "X.AddHttpClient", "ext:httpapi:default", "HttpClient"), ("3-MEDIUM", "X.CreateSender", "ext:messagebus:default", "AzureServiceBus"),
+    ("4-NOT SPECIFIED", "X.AddStackExchangeRedisCache", "ext:cache:default", "Redis"), ("5-LOW", "X.GetBlobContainerClient", "ext:storage:default", "AzureBlob"))
+
+
+@register("integration_detection", "select o_custkey::varchar as snapshot_id, id, technology, least(1.0, round(0.3 * count(*), 6))::double as confidence, 1::int as n_evidence, count(distinct o_orderkey)::int as n_nodes "
+          "from orders join (values " + ", ".join(f"('{p}', '{i}', '{t}')" for p, _, i, t in PRIORITY_CALLS) + ") v(priority, id, technology) on o_orderpriority = priority where o_custkey is not null group by 1, 2, 3")
 def integration_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A snapshot a customer: its orders are calls and type usages, so that detection runs over many small repositories."""
+    """A snapshot a customer: its orders are calls, so that detection runs over many small repositories."""
     from .operators import integrations
 
-    calls = {"1-URGENT": "X.UseSqlServer", "2-HIGH": "X.AddHttpClient", "3-MEDIUM": "X.CreateSender", "4-NOT SPECIFIED": "X.AddStackExchangeRedisCache", "5-LOW": "X.GetBlobContainerClient"}
+    calls = {p: call for p, call, *_ in PRIORITY_CALLS}
     text = F.try_element_at(F.create_map(*[F.lit(x) for kv in calls.items() for x in kv]), F.col("o_orderpriority"))
     orders = B.table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("snapshot_id"), F.lit("invocation").alias("phase"), text.alias("text"), F.lit(None).cast("string").alias("value"), F.col("o_orderkey").cast("int").alias("position"))
     found = integrations.in_profile(integrations.detect(_signals(orders)))

@@ -101,7 +101,7 @@ def _closes_do(ts: list[Token], brace: int) -> bool:
 def _conditional(ts: list[Token], at: int) -> bool:
     """Whether a question mark asks, rather than marks a nullable type."""
     depth = 0
-    for k in range(at + 1, min(len(ts), at + 400)):
+    for k in range(at + 1, len(ts)):
         x = ts[k].text
         if x in ("(", "[", "{"):
             depth += 1
@@ -170,10 +170,14 @@ def calls(ts: list[Token]) -> list[int]:
             continue
         at = k + 1
         if ts[at].text == "<":
-            end = _match(ts, at, "<", ">")
-            if end - at > 24 or any(x.text in ("(", ";", "{", "&&", "||") for x in ts[at:end]):
+            depth = 0
+            for at in range(at, len(ts)):  # type arguments, which none of these can stand in
+                depth += (ts[at].text == "<") - (ts[at].text == ">")
+                if depth == 0 or ts[at].text in ("(", ";", "{", "&&", "||"):
+                    break
+            if depth:
                 continue
-            at = end + 1
+            at += 1
         if at < len(ts) and ts[at].text == "(":
             first = k
             while first >= 2 and ts[first - 1].text in (".", "?.", "::") and ts[first - 2].kind == "name":

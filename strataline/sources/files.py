@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import os
 import shutil
+import signal
 import subprocess
 import tempfile
 import zipfile
@@ -14,7 +15,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import DEFAULT_EXCLUDES, language_of, path_included
+from ..functions.text import DEFAULT_EXCLUDES, language_of, path_included, source_kind, source_normalized
 
 
 def tree(spark: SparkSession, root: str, include: tuple[str, ...] = (), exclude: tuple[str, ...] = DEFAULT_EXCLUDES, names: str | None = None) -> DataFrame:
@@ -45,6 +46,17 @@ def check_request(path: str | None, repo_url: str | None) -> None:
         raise ValueError("give exactly one of a path and a repository URL")
 
 
+def meant(spark: SparkSession, path: str | None, repo_url: str | None) -> tuple[str | None, str | None]:
+    """(path, URL) that a source means, by the rules of ``source_kind``; what exists as a path is one."""
+    text = (path or "").strip() or (repo_url or "").strip()
+    row = spark.range(1).select(source_kind(F.lit(text)).alias("kind"), source_normalized(F.lit(text)).alias("text")).first()
+    if row.kind == "file":
+        return row.text, None
+    if os.path.exists(text) and not repo_url:
+        return text, None
+    return (None, row.text) if row.kind in ("url", "shorthand") or repo_url else (text, None)
+
+
 def check_loaded(projects: int, failures: list[str], root: str) -> None:
     """Failures count only where nothing was loaded."""
     if not projects and failures:
@@ -74,12 +86,24 @@ def git_arguments(url: str, target: str, branch: str | None = None, depth: int |
 
 def clone(url: str, target: str, branch: str | None = None, timeout: float = 300) -> str:
     """Clones a repository into ``target``; a run beyond ``timeout`` seconds is ended."""
-    done = subprocess.run(["git", *git_arguments(url, target, branch)], capture_output=True, text=True, timeout=timeout, env=os.environ | {"GIT_TERMINAL_PROMPT": "0"})
-    if done.returncode:
-        raise RuntimeError(f"git clone failed ({done.returncode}): {done.stderr.strip()}")
+    code, said = run(["git", *git_arguments(url, target, branch)], timeout)
+    if code:
+        raise RuntimeError(f"git clone failed ({code}): {said.strip()}")
     return target
 
 
+def run(command: list[str], timeout: float) -> tuple[int, str]:
+    """Exit code and error output of a command; at the timeout it ends with all processes it started."""
+    with subprocess.Popen(command, stdout=subprocess.DEVNULL, stderr=subprocess.PIPE, text=True, env=os.environ | {"GIT_TERMINAL_PROMPT": "0"}, start_new_session=True) as process:
+        try:
+            _, said = process.communicate(timeout=timeout)
+        except BaseException:
+            os.killpg(process.pid, signal.SIGKILL)  # the group that start_new_session made
+            process.wait()
+            raise
+    return process.returncode, said
+
+
 def unzip(data: bytes, target: str) -> list[str]:
     """Unpacks an archive below ``target``; entries that would land elsewhere are skipped."""
     base, out = os.path.realpath(target), []

@@ -172,3 +172,27 @@ def test_snapshots_do_not_mix(spark):
     got = {(r["s"], r["type_id"]): tuple(r)[:-1] for r in rows.collect()}
     assert got == {(s, k): v for s in ("x", "y_z") for k, v in alone.items()}
     assert metrics.namespace_counts(batched(two).model()).count() == 2
+
+
+def test_rings_are_solved_in_few_rounds(spark, monkeypatch):
+    rounds = []
+    real = components.Rounds.keep
+    monkeypatch.setattr(components.Rounds, "keep", lambda self, df: rounds.append(1) or real(self, df))
+    n = 64
+    rows = [(f"n{k:03d}", f"n{(k + 1) % n:03d}") for k in range(n)] + [("a", "n000"), ("n000", "z"), ("b", "c"), ("c", "b")]
+    edges = spark.createDataFrame(rows, "src string, dst string")
+    want = {(f"n{k:03d}", "n000") for k in range(n)} | {("b", "b"), ("c", "b")}
+    assert {tuple(r) for r in components.coloured(edges).collect()} == want and len(rounds) < 50
+    assert {tuple(r) for r in components.strongly_connected(edges).collect()} == want
+
+
+def test_repeated_containment_counts_again(spark):
+    from strataline.operators import metrics
+    from strataline.plans.graph import Graph
+
+    kinds = {"p": "Project", "q": "Project", "n": "Namespace", "t": "Type", "m": "Method"}
+    nodes = spark.createDataFrame([(i, k, i, {}, None) for i, k in kinds.items()], "id string, kind string, name string, attributes map<string,string>, evidence string")
+    edges = [("p", "n"), ("p", "n"), ("n", "t"), ("t", "m"), ("t", "m"), ("t", "m")]
+    edges = spark.createDataFrame([(a, b, "Contains") for a, b in edges], "from_id string, to_id string, kind string")
+    rows = {tuple(r) for r in metrics.project_counts(Graph(nodes, edges).model()).collect()}
+    assert rows == {("p", "p", 2, 2, 6), ("q", "q", 0, 0, 0)}

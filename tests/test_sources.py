@@ -188,3 +188,54 @@ def test_samples_are_told_with_confidence(spark, tmp_path):
         want, technology = next(w for n, *_, w in SAMPLES if n == name)
         assert found[want].technology == technology and found[want].confidence >= 0.85, name
         assert "Hidden" not in str(found) and {"PackageReference", "ConfigKey"} <= {e.kind for e in found[want].evidence} and found[want].used_by
+
+
+def test_what_sources_mean(spark, tmp_path):
+    from strataline.sources import files
+
+    (tmp_path / "owner" / "repo").mkdir(parents=True)
+    assert files.meant(spark, "owner/repo", None) == (None, "https://github.com/owner/repo.git")
+    assert files.meant(spark, None, " https://github.com/o/r ") == (None, "https://github.com/o/r.git")
+    assert files.meant(spark, str(tmp_path / "owner" / "repo"), None) == (str(tmp_path / "owner" / "repo"), None)
+    assert files.meant(spark, f"{tmp_path}/x/App.sln", None) == (f"{tmp_path}/x", None) and files.meant(spark, "App.csproj", None) == (".", None)
+
+
+def test_command_line_reads_solutions_and_archives(spark, tmp_path, capsys):
+    import zipfile
+
+    from strataline.__main__ import main
+
+    app = tmp_path / "app"
+    app.mkdir()
+    (app / "App.sln").write_text("")
+    (app / "App.csproj").write_text("<Project/>")
+    (app / "A.cs").write_text("namespace N { class A { void M() { } } }")
+    with zipfile.ZipFile(tmp_path / "app.zip", "w") as z:
+        for f in app.iterdir():
+            z.write(f, f"app/{f.name}")
+    assert main(["analyze", "-s", str(app / "App.sln"), "-f", "csv"]) == 0 and capsys.readouterr().out == ""
+    assert main(["analyze", "-s", str(app / "App.sln"), "-f", "csv", "--output", str(tmp_path / "r.csv"), "-t", "true"]) == 0
+    printed = capsys.readouterr().out
+    assert printed == (tmp_path / "r.csv").read_text() and "Types" in printed
+    assert main(["analyze", "-p", str(tmp_path / "app.zip"), "-f", "csv", "-t"]) == 0
+    assert capsys.readouterr().out == printed
+
+
+def test_a_command_beyond_its_time_ends_with_its_children():
+    import subprocess
+    import time
+
+    from strataline.sources import files
+
+    began = time.time()
+    with pytest.raises(subprocess.TimeoutExpired):
+        files.run(["sh", "-c", "sleep 30 & sleep 30"], 0.5)
+    assert time.time() - began < 10 and files.run(["sh", "-c", "echo no >&2; exit 3"], 5) == (3, "no\n")
+
+
+def test_long_conditionals_and_type_arguments():
+    from strataline.sources import csharp
+
+    far = "x = a ? f(" + "1, " * 500 + "2) : 3;"
+    assert csharp.metrics(far)["cyclo"] == 2
+    assert csharp.metrics("F<" + ", ".join(["A<B>"] * 20) + ">(1); if (a < b) G(2);")["calls"] == 2

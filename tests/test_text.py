@@ -58,3 +58,14 @@ def test_endpoints_and_scopes(spark):
 
 def test_sloc(spark):
     assert values(spark, ["a\n\n}\r\n  }  \nb }", "", None, " \n"], X.sloc) == [2, 0, 0, 0]
+
+
+def test_columns_and_workers_share_their_rules(spark):
+    from strataline.operators import integrations as I
+
+    values = ["", "localhost", "LOCALHOST", "127.0.0.1", "10.0.0.8", "172.31.0.1", "172.32.0.1", "a.svc", "b.cluster.local", "c.internal", "intranet", "example.com", "x.local.com", "a=b", "Server=s;Password=p;Key = 'k;x'",
+              "mongodb://u:p@h:1", "https://u:p@h/?token=t&x=1", "Endpoint=sb://x/;SharedAccessKey=k", "Host=h;Port=1", "password==x", "sid=1", "uid=1", "file.sqlite", "AccountEndpoint=https://x"]
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    rows = df.select("v", X.internal_host(X.F.col("v")).alias("host"), X.redact(X.F.col("v")).alias("red"), X.connection_kind(X.F.col("v")).alias("kind")).collect()
+    for r in rows:
+        assert (r.host, r.red, r.kind) == (I.internal_host(r.v), I.redacted(r.v), I.connection_kind(r.v))
