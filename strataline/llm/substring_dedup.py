@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from . import _hashing as H
 from ._batches import small_batches
 from ._filter import only
-from ..store import materialize, tidy
+from ..store import drop, materialize, tidy
 
 WINDOW = 16
 SPAN = 7  # units, of which the least hash makes a cut
@@ -233,15 +233,17 @@ def _rows(batch: pa.RecordBatch, *columns: str) -> Iterator[tuple]:
 
 
 #: A digest of more than this share of all rows is dealt over ``SALTS`` tasks; there are at most as many as go into one.
-HOT_SHARE, SALTS = 1 / 5000, 64
+HOT_SHARE, SALTS = 1 / 1000, 64
 
 
-def _repeated(pieces: DataFrame) -> DataFrame:
-    """The rows whose digest stands in two or more documents, with the first of them.
+def _repeated(pieces: DataFrame, first: bool) -> DataFrame:
+    """The rows whose digest stands in two or more documents, with the first of them if that is asked for.
 
-    The digests' first and last documents are aggregated before the shuffle. What is joined back with them
-    is dealt by digest, and rows of the few digests that stand nearly everywhere by digest and a salt.
+    The pieces are written once, and dropped when what repeats of them is written. The digests' first and
+    last documents are aggregated before the shuffle. What is joined back with them is dealt by digest, and
+    rows of the few digests that stand nearly everywhere by digest and a salt.
     """
+    pieces = materialize(pieces, "pieces")
     held = pieces.groupBy("digest").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last_doc_id"), F.count(F.lit(1)).alias("n")).where("first_doc_id <> last_doc_id")
     held = materialize(held.select("digest", "first_doc_id", "n"), "digests")
     total = held.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
@@ -249,7 +251,10 @@ def _repeated(pieces: DataFrame) -> DataFrame:
     salts = F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     few = held.where(hot).select("digest", F.lit(True).alias("hot"))  # of at most 1 / HOT_SHARE digests can this be true
     dealt = pieces.join(F.broadcast(few), "digest", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id", "place"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))).drop("hot")
-    return dealt.join(held.select("digest", "first_doc_id", F.explode(salts).alias("salt")), ["digest", "salt"]).drop("salt")
+    found = dealt.join(held.select("digest", "first_doc_id", F.explode(salts).alias("salt")), ["digest", "salt"]).drop("digest", "salt")
+    found = materialize(found if first else found.drop("first_doc_id"), "repeated")
+    drop(pieces)
+    return found
 
 
 def _in_runs(rows: DataFrame) -> DataFrame:
@@ -264,16 +269,16 @@ def _in_runs(rows: DataFrame) -> DataFrame:
 def repeated_passages(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS) -> DataFrame:
     """One row per repeated passage of each document."""
     start, end = F.min("start").alias("byte_start"), F.max(F.col("start") + F.col("size")).alias("byte_end")
-    hits = _repeated(chunked(docs, span)).select("doc_id", F.shiftright("place", UNIT_BITS).alias("start"), F.col("place").bitwiseAND((1 << UNIT_BITS) - 1).alias("units"), "size")
+    with small_batches(docs.sparkSession):
+        hits = _repeated(chunked(docs, span), first=False).select("doc_id", F.shiftright("place", UNIT_BITS).alias("start"), F.col("place").bitwiseAND((1 << UNIT_BITS) - 1).alias("units"), "size")
     # rows that repeat a doc_id repeat its chunks
     runs = _in_runs(hits).groupBy("doc_id", "run").agg(start, end, F.sum(F.when(F.col("new"), F.col("units"))).alias("units"))
-    with small_batches(docs.sparkSession):
-        runs = materialize(runs.where(F.col("units") >= shortest_run(span, min_words)).select("doc_id", "byte_start", "byte_end"), "chunks")
+    runs = materialize(runs.where(F.col("units") >= shortest_run(span, min_words)).select("doc_id", "byte_start", "byte_end"), "chunks")
     low = (1 << 32) - 1
     with small_batches(docs.sparkSession, 500):
-        held = _repeated(_windows(runs, docs, span, min_words)).select(
+        held = _repeated(_windows(runs, docs, span, min_words), first=True).select(
             "doc_id", F.shiftright("place", 32).alias("start"), F.col("place").bitwiseAND(low).alias("size"), F.shiftright("words", 32).alias("nth"), F.col("words").bitwiseAND(low).alias("n"), "first_doc_id")
-        found = _in_runs(held).groupBy("doc_id", "run").agg(start, end, (F.max(F.col("nth") + F.col("n")) - F.min("nth")).alias("n_words"), F.mode("first_doc_id", True).alias("first_doc_id"))
-        found = materialize(found, "chunks")
+    found = _in_runs(held).groupBy("doc_id", "run").agg(start, end, (F.max(F.col("nth") + F.col("n")) - F.min("nth")).alias("n_words"), F.mode("first_doc_id", True).alias("first_doc_id"))
+    found = materialize(found, "chunks")
     n_words = F.greatest("n_words", F.floor((F.col("byte_end") - F.col("byte_start")) / BYTES_A_WORD)).alias("n_words")
     return found.select("doc_id", "byte_start", "byte_end", n_words, "first_doc_id", (F.col("first_doc_id") != F.col("doc_id")).alias("duplicate"))
