@@ -11,8 +11,9 @@ all pairs of a bucket is made. Documents are first clustered by estimates agains
 pivots of their buckets; the links inside a cluster are counted exactly on the full sets,
 in blocks of bounded size, and only least reachable ids come out of a block. Then only
 documents of different clusters that share a bucket meet, filtered by the estimate inside
-the join, and what passes is confirmed pair by pair. What is compared inside a cluster
-grows with the square of the cluster's size, at a thousandth of a pair list's cost.
+the join, and what passes is confirmed pair by pair. Inside a cluster that is larger than a
+block, documents that their pivots connect are not compared with each other; what is compared
+grows with the cluster's size times the number of those that are left.
 
 With r and the number of bands chosen for a miss rate below 1e-6 at the threshold, what
 is left to chance is that one pair in a million at the threshold shares no bucket, or
@@ -138,6 +139,10 @@ def least_estimate(threshold: float) -> float:
     return threshold - 4.5 * (p * (1 - p) / K) ** 0.5 / (1 - chance)
 
 
+#: A document in more than this share of all pairs, and in so many at least, is dealt over ``SALTS`` tasks.
+HOT_SHARE, HOT_LEAST, SALTS = 1 / 1000, 500, 64
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
@@ -167,7 +172,14 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
                 keep[row] = same > 0 and 100 * same >= percent * (len(x) + len(y) - same)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))], names=["a", "b"])
 
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(check, "a bigint, b bigint")
+    # a document that many pairs name is dealt over several tasks
+    total = pairs.count()
+    hot = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > max(HOT_LEAST, total * HOT_SHARE)).select("b")  # of at most 1 / HOT_SHARE can this be true
+    hot = materialize(hot.withColumn("hot", F.lit(True)), "minhash")
+    pairs = pairs.select("a", "b").join(F.broadcast(hot), "b", "left").select("a", "b", F.when(F.col("hot"), F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0)).alias("salt"))
+    salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    right = right.join(F.broadcast(hot), "b", "left").select("b", "tb", F.explode(salts).alias("salt"))
+    return pairs.join(left, "a").join(right, ["b", "salt"]).select("a", "b", "ta", "tb").mapInArrow(check, "a bigint, b bigint")
 
 
 #: Documents, and shingles, in a block of a cluster.
@@ -208,25 +220,48 @@ def linked_roots(sets: list[np.ndarray], ids: np.ndarray, mine: np.ndarray, thei
     return roots(ids, mine[i], theirs[j])
 
 
-def _linked_in_clusters(rows: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(a, b) edges that connect what is linked inside the clusters of ``rows`` (rep, n, cluster), found on full sets."""
+def _linked_in_clusters(rows: DataFrame, near: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(a, b) edges that connect what is linked inside the clusters of ``rows`` (rep, n, cluster), found on full sets.
+
+    Only what is connected counts, so where a cluster is larger than a block its documents are first
+    held against the pivots that ``near`` (a, b) names, one pair of texts each. Those that this connects
+    need no comparison among themselves: the cluster's largest connected part meets the rest of it
+    only, and a cluster of a million copies of one text with small changes costs a million pairs.
+    """
     sizes = rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("total")).where("m > 1")
     sizes = sizes.select("cluster", F.ceil(F.greatest(F.col("m") / BLOCK, F.col("total") / BLOCK_SHINGLES)).alias("blocks"))
-    dealt = materialize(rows.join(sizes, "cluster").select("rep", "cluster", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("block")), "minhash")
+    sized = materialize(rows.join(sizes, "cluster"), "minhash")
+    small = sized.where("blocks = 1").select("rep", "cluster", F.lit(0).cast("bigint").alias("b1"), F.lit(0).cast("bigint").alias("b2"), F.lit(True).alias("mine"), F.lit(True).alias("theirs"))
+    out, dealt = None, small
+    large = sized.where("blocks > 1")
+    if not large.isEmpty():
+        pairs = near.join(large.select(F.col("rep").alias("a")), "a", "left_semi").distinct()
+        out = materialize(confirmed(pairs, docs, width, percent), "minhash")
+        where = materialize(connected_components(out), "minhash").select(F.col("node").alias("rep"), F.col("component").alias("part"))
+        parted = materialize(large.join(where, "rep", "left").withColumn("part", F.coalesce("part", "rep")), "minhash")
+        parts = parted.groupBy("cluster", "part").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("total"))
+        most = parts.groupBy("cluster").agg(F.max_by("part", F.struct("m", "part")).alias("main"))
+        rest = parts.join(most, "cluster").where("part <> main").groupBy("cluster", "main").agg(F.sum("m").alias("m"), F.sum("total").alias("total"))
+        rest = rest.select("cluster", "main", F.ceil(F.greatest(F.col("m") / BLOCK, F.col("total") / BLOCK_SHINGLES)).alias("rests"))
+        parted = parted.join(rest, "cluster")  # clusters that are one part are done
+        spread = F.xxhash64("rep")
+        first = parted.where("part <> main").select("rep", "cluster", F.pmod(spread, F.col("rests")).alias("b1"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("b2"), F.lit(True).alias("mine"), F.lit(False).alias("theirs"))
+        second = parted.select("rep", "cluster", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("rests") - 1)).alias("b1"), F.pmod(spread, F.col("blocks")).alias("b2"), F.lit(False).alias("mine"), F.lit(True).alias("theirs"))
+        dealt = dealt.unionByName(first).unionByName(second)
+    dealt = materialize(dealt, "minhash")
     texts = only(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), dealt.select(F.col("rep").alias("doc_id")))
-    dealt = dealt.join(texts.withColumnRenamed("doc_id", "rep"), "rep")
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-    dealt = dealt.select("cluster", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "block", "rep", "text")
+    dealt = dealt.join(texts.withColumnRenamed("doc_id", "rep"), "rep").select("cluster", "b1", "b2", "mine", "theirs", "rep", "text")
 
     def link(group: pa.Table) -> pa.Table:
         data, offsets = H.buffers(group.column("text"))
         sets = [s for found in H.words(data, offsets) for s in H.shingle_sets(found, width)]
-        ids, block = group.column("rep").to_numpy(), group.column("block").to_numpy()
-        mine, theirs = np.flatnonzero(block == group.column("b1")[0].as_py()), np.flatnonzero(block == group.column("b2")[0].as_py())
+        ids = group.column("rep").to_numpy()
+        mine, theirs = (np.flatnonzero(group.column(c).to_numpy(zero_copy_only=False)) for c in ("mine", "theirs"))
         root = linked_roots(sets, ids, mine, theirs, percent) if len(mine) and len(theirs) else ids
         return pa.table({"a": ids[root != ids], "b": root[root != ids]})
 
-    return dealt.groupBy("cluster", "b1", "b2").applyInArrow(link, "a bigint, b bigint")
+    found = dealt.groupBy("cluster", "b1", "b2").applyInArrow(link, "a bigint, b bigint")
+    return found if out is None else found.unionByName(out)
 
 
 def _nearest_pivots(rows: DataFrame, sigs: DataFrame, percent: int, low: float) -> DataFrame:
@@ -262,7 +297,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     again = rows.join(pivots, "key").select("rep", "cluster", F.explode(F.array("p", "q")).alias("b")).where("b.cluster <> cluster")
     near = near.unionByName(_nearest_pivots(again.select(F.col("rep").alias("a"), F.col("b.rep").alias("b")), sigs, percent, low))
     cluster = _clusters(near)
-    links = materialize(_linked_in_clusters(_with_cluster(sigs.select("rep", "n"), cluster), docs, width, percent), "minhash")
+    links = materialize(_linked_in_clusters(_with_cluster(sigs.select("rep", "n"), cluster), near, docs, width, percent), "minhash")
 
     # pairs that share a bucket but no cluster: whoever is not in the bucket's largest
     # cluster meets the rest of it, and the estimate is a condition of the join

@@ -86,3 +86,28 @@ def test_banding_misses_little():
     for threshold in (0.8, 0.85, 0.95):
         r, n = M.banding(threshold)
         assert r * n <= M.K and (1 - threshold**r) ** n < 1e-6
+
+
+def test_large_clusters_by_pivots_first(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(M, "BLOCK", 8)
+    monkeypatch.setattr(M, "HOT_LEAST", 3)
+    r = random.Random(17)
+    rows = []
+    for g in range(4):
+        base = [f"w{r.randrange(10**6)}" for _ in range(120)]
+        drift = list(base)
+        for k in range(40):
+            if k % 2:  # a chain: each step is close to the one before, its ends are far apart
+                drift[r.randrange(len(drift))] = f"w{r.randrange(10**6)}"
+                words = list(drift)
+            else:
+                words = list(base)
+                for _ in range(r.randint(0, 5)):
+                    words[r.randrange(len(words))] = f"w{r.randrange(10**6)}"
+            rows.append((len(rows), " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    for width, percent in ((3, 85), (5, 80)):
+        got = {tuple(x) for x in M.near_duplicates(docs, width, percent).select("doc_id", "n_shingles", "component_id", "kept").collect()}
+        assert got == brute(rows, width, percent)
