@@ -161,7 +161,7 @@ def _expression(text: str, at: int, known: dict[str, Value]) -> tuple[Value, int
 
 def lexed_spans(text: str, least: float = 0.45) -> list[Span]:
     """Literals whose target names and values together score ``least`` or more."""
-    if not any(c in text for c in "=:,<"):
+    if not ("=" in text or ":" in text or "</" in text or "(" in text and "," in text):
         return []
     known: dict[str, Value] = {}
     out: set[tuple[int, int]] = set()
