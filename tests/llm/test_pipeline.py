@@ -73,3 +73,27 @@ def test_tokens_give_the_text_back(spark, stages):
 def test_run(spark, stages):
     got = C.run(spark, DATA)
     assert ids(got) == ids(stages[5])
+
+
+def test_stages_on_empty_repeated_and_very_long_rows(spark, tmp_path):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").withColumn("component_id", F.lit("clash")).withColumn("spans", F.lit(1))
+    bench = spark.read.parquet(f"{DATA}/benchmark.parquet").first().text
+    kind = docs.schema
+    long = "the words of a very long text stand here with others that follow " * 30000
+    rows = [(1, "the cat sat on the mat with them", "en", "s", 9), (1, "the cat sat on the mat with them", "en", "s", 9), (2, long, "en", "s", None), (3, long + 'password = "q8Zx91kd82"', "en", "s", 1),
+            (None, "les chiens sont dans la maison", None, None, None), (5, None, "en", "s", None), (6, "", "en", "s", 0), (7, f"So: {bench}", "en", "s", 3)]
+    mine = spark.createDataFrame([(*r, "clash", 1) for r in rows], kind)
+    for _, stage in C.STAGES[:4]:
+        assert stage(spark, docs.limit(0), DATA).count() == 0
+        assert stage(spark, mine, DATA).columns == docs.columns
+    assert C.STAGES[4][1](spark, docs.limit(0), DATA).count() == 0
+    # trained on the table, judged on rows of all kinds
+    said = C.language(spark, docs.unionByName(mine.withColumn("lang", F.lit(None).cast("string"))), DATA)
+    assert said.where("doc_id in (5, 6) and component_id = 'clash' and text = ''").count() == 0
+    assert sorted(str(r.doc_id) for r in C.near_duplicates(spark, mine, DATA).collect()) == ["1", "2", "5", "6", "7", "None"]
+    assert sorted(str(r.doc_id) for r in C.benchmark(spark, mine, DATA).collect()) == ["1", "1", "2", "3", "5", "6", "None"]
+    masked = {r.doc_id: r for r in C.secret_masking(spark, mine, DATA).collect()}
+    assert masked[3].text == long + 'password = "[secret]"' or "q8Zx91kd82" not in masked[3].text
+    assert masked[3].n_chars == len(masked[3].text) and masked[2].text == long and masked[5].text is None
+    out = C.tokens(spark, mine, DATA).collect()
+    assert len(out) == len(rows) and all(r.lossless for r in out if r.doc_id not in (5,))
