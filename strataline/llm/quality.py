@@ -3,7 +3,7 @@
 A document's features are its words, the pairs of adjacent words, and its character n-grams (3 and 4
 bytes, of the whole text, white space and punctuation included), hashed into buckets, and one mark that
 every text has. The hash of a pair is the mixed difference of its words' hashes, so that a word which
-follows itself gives the same bucket whichever word it is. Each bucket has a learned vector; the mean
+follows itself gives the same bucket whichever word it is: a mark of echoes, chosen by hand. Each bucket has a learned vector; the mean
 of a document's vectors goes through a softmax over the two classes. Vectors and output weights are trained by
 stochastic gradient descent in numpy, one document a step, on at most ``max_train``
 labelled documents (those of least hash of doc_id, whole texts).
