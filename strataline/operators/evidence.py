@@ -16,41 +16,44 @@ def clip(x: Column, low: Column, high: Column) -> Column:
     return F.least(high, F.greatest(low, x))
 
 
-def folded(ordered_weights: Column) -> Column:
-    """What a run of weights does to a confidence x: clip(x + shift, low, high).
+def added(x: Column, w: Column) -> Column:
+    """A confidence after one more weight."""
+    return clip(x + w, F.lit(0.0), F.lit(1.0))
 
-    Adding and clamping composes to another such function, so runs can be folded apart
-    and their results one after the other.
-    """
-    start = F.struct(F.lit(0.0).alias("shift"), F.lit(float("-inf")).alias("low"), F.lit(float("inf")).alias("high"))
 
-    def step(f: Column, w: Column) -> Column:
-        zero, one = F.lit(0.0), F.lit(1.0)
-        return F.struct((f["shift"] + w).alias("shift"), clip(f["low"] + w, zero, one).alias("low"), clip(f["high"] + w, zero, one).alias("high"))
+def folded(ordered_weights: Column) -> Column:
+    """What a run of weights does to any confidence: where it takes 0 and 1, and the weights if that leaves it open.
 
-    return F.aggregate(ordered_weights, start, step)
+    Sums of doubles depend on their order, so a run cannot be summed apart. But each step keeps the order
+    of any two confidences, rounding included: if 0 and 1 end in one place, so does whatever is between.
+    """
+    both = F.struct(F.lit(0.0).alias("low"), F.lit(1.0).alias("high"))
+    ends = F.aggregate(ordered_weights, both, lambda f, w: F.struct(added(f["low"], w).alias("low"), added(f["high"], w).alias("high")))
+    return F.struct(ends["low"].alias("low"), F.when(ends["low"] != ends["high"], ordered_weights).alias("open"))
 
 
 def composed(ordered: Column) -> Column:
-    """The functions of ``folded`` one after the other, applied to 0."""
-    start = F.struct(F.lit(0.0).alias("shift"), F.lit(float("-inf")).alias("low"), F.lit(float("inf")).alias("high"))
+    """The runs of ``folded`` one after the other, from 0: step by step where a run is open."""
+    return F.aggregate(ordered, F.lit(0.0), lambda x, f: F.when(f["open"].isNull(), f["low"]).otherwise(F.aggregate(f["open"], x, added)))
 
-    def then(f: Column, g: Column) -> Column:
-        return F.struct((f["shift"] + g["shift"]).alias("shift"), clip(f["low"] + g["shift"], g["low"], g["high"]).alias("low"), clip(f["high"] + g["shift"], g["low"], g["high"]).alias("high"))
 
-    return F.aggregate(ordered, start, then, lambda f: clip(f["shift"], f["low"], f["high"]))
+def nulls_last(*names: str) -> list[Column]:
+    """The fields of a struct that sorts by ``names`` as SQL does."""
+    return [c for n in names for c in (F.col(n).isNull().alias(f"_no_{n}"), F.col(n))]
 
 
 def confidence(evidence: DataFrame, key: str, order: list[str], weight: str, chunk: Column | None = None) -> DataFrame:
     """The confidence of each candidate, clamped to [0, 1] at every step, where it is positive.
 
-    ``chunk`` must not fall along ``order``; with it a candidate's evidence is folded chunk by
-    chunk in tasks of their own, so no candidate is gathered whole.
+    It is the very double that adding the weights one by one gives; nulls in ``order`` come last.
+    ``chunk`` must not fall along ``order`` and must be null where that is; with it a candidate's evidence
+    is folded chunk by chunk in tasks of their own. Of a chunk only its result is gathered, or its
+    weights if the result depends on what came before.
     """
     rows = evidence.select(key, *order, weight, (F.lit(0) if chunk is None else chunk).alias("_chunk"))
-    packed = F.array_sort(F.collect_list(F.struct(*order, weight)))
-    parts = rows.groupBy(key, "_chunk").agg(folded(F.transform(packed, lambda x: x[weight])).alias("f"))
-    whole = parts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_chunk", "f"))).alias("fs"))
+    packed = F.array_sort(F.collect_list(F.struct(*nulls_last(*order), weight)))
+    parts = rows.groupBy(key, "_chunk").agg(packed.alias("ws")).select(key, "_chunk", folded(F.transform("ws", lambda x: x[weight])).alias("f"))
+    whole = parts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*nulls_last("_chunk"), "f"))).alias("fs"))
     return whole.select(key, composed(F.transform("fs", lambda x: x["f"])).alias("confidence")).where("confidence > 0")
 
 

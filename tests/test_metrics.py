@@ -1,6 +1,7 @@
 """Hand-computed values of the metric formulas and their empty cases."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -147,6 +148,25 @@ def test_confidence_is_clamped_at_every_step(spark):
     assert {k: round(v["confidence"], 6) for k, v in chunked.items()} == {"a": 0.5, "b": 0.2}
 
 
+def test_confidence_is_the_double_that_single_steps_give(spark):
+    r = random.Random(4)
+    weights = {k: [r.choice((-0.3, 0.6, 0.2, 0.05, 0.05, 0.05)) for _ in range(r.choice((3, 8, 40)))] for k in range(200)}
+    weights[-1] = [0.05, 0.05, 0.2, -0.3]  # a rest of 5.6e-17 stays, so the row does
+    rows = [(k, o, w) for k, ws in weights.items() for o, w in enumerate(ws)]
+    rows += [(-2, 1, 0.9), (-2, None, -0.4), (-2, 2, 0.9)]  # what has no place comes last, as in SQL
+    weights[-2] = [0.9, 0.9, -0.4]
+    want = {}
+    for k, ws in weights.items():
+        x = 0.0
+        for w in ws:
+            x = min(1.0, max(0.0, x + w))
+        if x > 0:
+            want[k] = x
+    df = spark.createDataFrame(rows, "k int, o int, w double")
+    for chunk in (None, F.floor(F.col("o") / 3), F.col("o")):
+        assert {x["k"]: x["confidence"] for x in evidence.confidence(df, "k", ["o"], "w", chunk).collect()} == want
+
+
 def test_evidence_order(spark):
     rows = [("k", "ConfigKey", "b", 2, "x"), ("k", "ConfigKey", "b", None, "x"), ("k", "Invocation", None, None, "y"), ("k", "ConfigKey", "b", 2, "x")]
     got = evidence.distinct_evidence(spark.createDataFrame(rows, "k string, kind string, file_path string, line int, details string"), "k").orderBy("position").collect()
