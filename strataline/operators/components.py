@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,10 +16,41 @@ from ..store import Rounds, materialize, tidy
 SMALL = 200_000
 
 
-def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def least_reached(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of the edges (i, j), and the least node that each of them reaches."""
+    names, at = np.unique(np.concatenate((i, j)), return_inverse=True)
+    a, b = at[: len(i)], at[len(i) :]
+    low = np.arange(len(names))
+    while True:
+        new = low.copy()
+        np.minimum.at(new, a, low[b])
+        np.minimum.at(new, b, low[a])
+        np.minimum.at(new, low[a], low[b])  # trees hook on as wholes, so that a long path takes few rounds
+        np.minimum.at(new, low[b], low[a])
+        new = new[new]
+        if (new == low).all():
+            return names, names[low]
+        low = new
+
+
+def _solved(edges: DataFrame) -> DataFrame:
+    """``edges`` (u, v) -> (node, component) by one task, without a shuffle."""
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(b.column("u").to_numpy(zero_copy_only=False), b.column("v").to_numpy(zero_copy_only=False)) for b in batches if b.num_rows]
+        if parts:
+            found = least_reached(*map(np.concatenate, zip(*parts)))
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, found)), names=["node", "component"])
+
+    kind = dict(edges.dtypes)["u"]
+    return edges.coalesce(1).mapInArrow(solve, f"node {kind}, component {kind}")
+
+
+def connected_components(edges: DataFrame, rounds: int = 40, small: int = SMALL) -> DataFrame:
     """``edges`` (a, b) -> (node, component), component the least reachable node.
 
-    Large-star and small-star rounds: every step is an aggregation to the least
+    At most ``small`` edges are solved whole by one task, since rounds cost much more than that.
+    More take large-star and small-star rounds: every step is an aggregation to the least
     neighbour and a join on the node, so a hub of any degree is pre-aggregated before
     the shuffle and its join can be split. Each round is written to the shared folder.
     Self-loops, repeated edges and nulls are dropped; an empty table gives an empty table.
@@ -25,7 +58,10 @@ def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     rounds_ = Rounds(edges.sparkSession, "cc")
     work = rounds_.keep(
         edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        .where("a is not null and b is not null and a <> b").distinct())
+        .where("a is not null and b is not null and a <> b"))
+    if work.count() <= small:
+        return _solved(work)
+    work = rounds_.keep(work.distinct())
     before = None
     for _ in range(rounds):
         both = work.unionByName(work.select(F.col("v").alias("u"), F.col("u").alias("v")))

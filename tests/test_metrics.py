@@ -139,6 +139,20 @@ def test_connected_components(spark):
     assert components.connected_components(edges.limit(0)).count() == 0
 
 
+def test_few_edges_are_solved_without_rounds(spark, monkeypatch):
+    r = random.Random(5)
+    path = r.sample(range(10**6), 300)  # a long path in random order, beside random parts
+    edges = [*zip(path, path[1:]), *((r.randrange(-400, 0), r.randrange(-400, 0)) for _ in range(250)), (None, 3), (7, 7)]
+    df = spark.createDataFrame(edges, "a bigint, b bigint").repartition(5)
+    by_rounds = {tuple(x) for x in components.connected_components(df, small=0).collect()}
+    named = df.select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"))
+    names_by_rounds = {tuple(x) for x in components.connected_components(named, small=0).collect()}
+    monkeypatch.setattr(components.F, "explode", None)  # what rounds need
+    assert {tuple(x) for x in components.connected_components(df).collect()} == by_rounds
+    assert {tuple(x) for x in components.connected_components(named).collect()} == names_by_rounds
+    assert len(by_rounds) > 300 and len({c for _, c in by_rounds if c >= 0}) == 1
+
+
 def test_confidence_is_clamped_at_every_step(spark):
     rows = [("a", 1, 0.9), ("a", 2, 0.9), ("a", 3, -0.5), ("b", 1, -1.0), ("b", 2, 0.2), ("c", 1, -0.1)]
     got = by(evidence.confidence(spark.createDataFrame(rows, "k string, o int, w double"), "k", ["o"], "w"), "k")
