@@ -7,7 +7,8 @@ Python loop per word.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -55,6 +56,22 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
+def _trim() -> Callable[[int], object]:
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return lambda pad: None
+
+
+_malloc_trim = _trim()
+
+
+def give_back() -> None:
+    """Returns freed memory to the machine: a Python worker is kept for later tasks, with all that it ever took."""
+    pa.default_memory_pool().release_unused()
+    _malloc_trim(0)
+
+
 class Prefix:
     """Range hashes over one piece of bytes."""
 

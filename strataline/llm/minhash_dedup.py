@@ -115,6 +115,7 @@ def signed(docs: DataFrame, width: int, threshold: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [ids, pa.array(size), pa.array(d1), pa.array(d2), _lists(sig, which, len(sets)), _lists(keys, which, len(sets))],
                     names=["doc_id", "n_shingles", "d1", "d2", "sig", "bands"])
+            H.give_back()
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(sign, SIGNED)
 

@@ -32,6 +32,8 @@ from . import _hashing as H
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 THETA = 1.0
+#: Bytes of text in a lattice, which takes up to about 100 bytes for each of them.
+LATTICE = 1 << 18
 
 
 class Vocabulary(NamedTuple):
@@ -223,10 +225,11 @@ def _draw(lat: Lattice, unit: np.ndarray, size: np.ndarray, seed: np.ndarray) ->
 
 def _cuts(data: np.ndarray, lo: int, hi: int) -> Iterator[tuple[int, int]]:
     """Pieces of a long row, cut before a space that follows something else."""
-    while hi - lo > 2 * H.PIECE:
-        cut, a = hi, lo + H.PIECE
+    most = min(LATTICE, H.PIECE)
+    while hi - lo > 2 * most:
+        cut, a = hi, lo + most
         while a < hi:
-            b = min(hi, a + H.PIECE)
+            b = min(hi, a + most)
             here = np.flatnonzero((data[a:b] == 32) & (data[a - 1 : b - 1] != 32))
             if len(here):
                 cut = a + int(here[0])
@@ -241,7 +244,7 @@ def _cuts(data: np.ndarray, lo: int, hi: int) -> Iterator[tuple[int, int]]:
 
 def encode(v: Vocabulary, data: np.ndarray, offsets: np.ndarray, keys: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row, tokens, offsets of each row's tokens) in groups of rows."""
-    for first, last in H.groups(offsets):
+    for first, last in H.groups(offsets, min(LATTICE, H.PIECE)):
         parts: list[np.ndarray] = []
         counts = np.zeros(last - first, dtype=np.int64)
         done = 0  # units of a long row before the piece at hand
@@ -309,6 +312,7 @@ def tokenize(docs: DataFrame, model: str = DEFAULT_MODEL, theta: float = THETA,
                 lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32), mask=np.append(null[first:last], False)), pa.array(tokens, pa.int32()))
                 same = [None if null[k] else decode(shared.value, tokens[at[k - first] : at[k - first + 1]]) == data[offsets[k] : offsets[k + 1]].tobytes() for k in range(first, last)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, last - first), lists, pa.array(same, pa.bool_())], names=["doc_id", "tokens", "lossless"])
+            H.give_back()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(cut, f"doc_id {kind}, tokens array<int>, lossless boolean")
@@ -348,6 +352,7 @@ def digests(docs: DataFrame, model: str = DEFAULT_MODEL, theta: float = THETA, s
                     texts.append(hashlib.sha256(text).hexdigest())
                     same.append(text == data[offsets[k] : offsets[k + 1]].tobytes())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, last - first), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string()), pa.array(same, pa.bool_())], names=["doc_id", "n_tokens", "ids_sha256", "text_sha256", "lossless"])
+            H.give_back()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(cut, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, text_sha256 string, lossless boolean")

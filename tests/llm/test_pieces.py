@@ -79,3 +79,21 @@ def test_tables(spark):
     assert d[0] == d[4] and d[1].n_tokens is None and d[2].n_tokens == 0 and all(r.lossless in (True, None) for r in d)
     assert P.digests(df.limit(0)).count() == 0 == P.tokenize(df.limit(0)).count()
     assert np.all(P.load().byte_id >= 0)
+
+
+def test_lattices_are_small_and_memory_is_given_back(vocabulary, monkeypatch):
+    seen = []
+    monkeypatch.setattr(P, "lattice", lambda v, data, *rest, f=P.lattice: seen.append(len(data)) or f(v, data, *rest))
+    text = " ".join(f"w{k}" for k in range(150_000))
+    got = encoded(vocabulary, [(1, text), (2, text[:400_000]), (3, "end")])
+    assert [P.decode(vocabulary, t).decode() for t in got] == [text, text[:400_000], "end"]
+    assert max(seen) <= 2 * P.LATTICE + 2 < H.PIECE
+
+    def resident():
+        return next(int(x.split()[1]) for x in open("/proc/self/status") if x.startswith("VmRSS"))
+
+    held = [np.ones(1000) for _ in range(20_000)]  # blocks too small for maps of their own
+    keep, full = held[::5000], resident()
+    del held
+    H.give_back()
+    assert full - resident() > 100_000 and len(keep) == 4
